@@ -65,16 +65,14 @@ def map_rows(df: DataFrame, schema: T.StructType, keep: list[str], row: Callable
     row() is called once a task, so that models and caches are built there once.
     """
     rest = [f for f in schema.fields if f.name not in keep]
-    types = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in schema.fields])
+    types = {f.name: _arrow(f.dataType) for f in rest}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = row()
         for b in batches:
             made = [f(*x) for x in zip(*(b.column(c).to_pylist() for c in read), strict=True)]
-            cols = {c: b.column(c) for c in keep}
-            for i, x in enumerate(rest):
-                cols[x.name] = pa.array([r[i] for r in made], types.field(x.name).type)
-            yield pa.RecordBatch.from_arrays([cols[f.name].cast(types.field(f.name).type) for f in schema.fields], schema=types)
+            cols = {c: b.column(c) for c in keep} | {x.name: pa.array([r[i] for r in made], types[x.name]) for i, x in enumerate(rest)}
+            yield pa.RecordBatch.from_arrays([cols[f.name] for f in schema.fields], names=schema.names)
 
     return df.mapInArrow(run, schema)
 

@@ -130,8 +130,8 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int
     return {"w": fit(SCALE * x, np.array([good[r[0]] for r in rows])), "rate": rate, "share": share}
 
 
-def score(docs: DataFrame, model: dict, text: str = "text", keep_columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """quality_score (0 to 1) and keep of every document."""
+def score(docs: DataFrame, model: dict, text: str = "text", keep_columns: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("quality_score", "keep")) -> DataFrame:
+    """The score (0 to 1) of every document and whether to keep it; names: of these columns."""
     w = model["w"]
 
     def scorer():
@@ -142,6 +142,6 @@ def score(docs: DataFrame, model: dict, text: str = "text", keep_columns: tuple[
 
         return row
 
-    schema = T.StructType([*(docs.schema[c] for c in keep_columns), T.StructField("quality_score", T.DoubleType()), T.StructField("keep", T.BooleanType())])
+    schema = T.StructType([*(docs.schema[c] for c in keep_columns), T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.BooleanType())])
     cols = list(dict.fromkeys([*keep_columns, text]))
     return map_rows(docs.select(*cols), schema, list(keep_columns), scorer, [text])

@@ -157,6 +157,19 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id",
     return joined.withColumn("_spans", F.array_sort(F.concat(*found))).drop("_doc", "_at", "_at2", "_rules")
 
 
+def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """docs with each stretch of text that spans cover replaced by mark; a null text stays null."""
+    whole = F.col(text)
+
+    def step(acc: Column, s: Column) -> Column:
+        opened = F.concat(acc["made"], F.substring(whole, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
+        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), opened.alias("made"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["made"].alias("made")))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("made"))
+    made = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["made"], F.substring(whole, acc["at"] + 1, F.length(whole))))
+    return scan(docs, rules, key, text).withColumn(text, F.when(F.size("_spans") > 0, made).otherwise(whole)).drop("_spans")
+
+
 def listed(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     names = F.array(*(F.lit(r.kind) for r in rules))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")

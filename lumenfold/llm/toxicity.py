@@ -118,8 +118,8 @@ def _fit(on: list[np.ndarray], y: np.ndarray, r: np.ndarray, steps: int = 300, d
     return {"w": w[:-1] * r * 4, "bias": float(w[-1])}
 
 
-def score(docs: DataFrame, model: dict, text: str = "text", keep_columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """score and predicted of every document."""
+def score(docs: DataFrame, model: dict, text: str = "text", keep_columns: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The score (0 to 1) of every document and whether it reaches THRESHOLD (1 or 0); names: of these columns."""
     table, w, bias = model["table"], model["w"], model["bias"]
 
     def scorer():
@@ -132,5 +132,5 @@ def score(docs: DataFrame, model: dict, text: str = "text", keep_columns: tuple[
 
         return row
 
-    schema = T.StructType([*(docs.schema[c] for c in keep_columns), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    schema = T.StructType([*(docs.schema[c] for c in keep_columns), T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
     return map_rows(docs.select(*dict.fromkeys([*keep_columns, text])), schema, list(keep_columns), scorer, [text])
