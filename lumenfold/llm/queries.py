@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumenfold.llm import bpe, jaccard, packing, quality, secrets, toxicity, unigram, winnowing
+from lumenfold.llm import ann, bpe, jaccard, packing, pii, quality, secrets, toxicity, unigram, winnowing
 from lumenfold.llm.common import table
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare_neighbours(table(spark, sf_dir, "documents"))
 
@@ -46,8 +51,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op2_winnowing, op3_quality, op4_toxicity, op5_token_counts, op6_jaccard, op7_secrets, op8_packing, op9_bpe)
+    made = (op1_neighbours, op2_winnowing, op3_quality, op4_toxicity, op5_token_counts, op6_jaccard, op7_secrets, op8_packing, op9_bpe, op10_pii)
     return {f.__name__: f for f in made}
 
 
