@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenfold.llm.common import bounded_sample, code_points, grams, map_rows
+from lumenfold.llm.weak_labels import fit, posteriors
 
 #: Hash buckets of the scorer; documents it is fitted on; score from which a document is kept.
 BUCKETS, SAMPLE, THRESHOLD = 4096, 4000, 0.5
@@ -65,42 +66,6 @@ def features(codes: np.ndarray, s: dict[str, float], buckets: int = BUCKETS) ->
     return x
 
 
-def posteriors(patterns: dict[str, int], steps: int = 30) -> tuple[dict[str, float], np.ndarray, float]:
-    """Pattern of votes -> probability of good, by expectation-maximisation over the counts of all patterns.
-
-    Also how each labeller votes: [class, labeller, vote], class 0 junk; and the share of junk. Starts from
-    "junk where any labeller says so"; a labeller may not come to vote junk more often on good documents.
-    """
-    if not patterns:
-        return {}, np.full((2, len(LABELLERS), 3), 1 / 3), 0.5
-    keys = sorted(patterns)
-    v = np.array([[int(c) for c in k] for k in keys])
-    n = np.array([patterns[k] for k in keys], float)
-    one = np.stack([v == x for x in range(3)], -1).astype(float)
-    junk = np.where((v == 1).any(1), 0.9, 0.02)
-    for _ in range(steps):
-        share = ((n * junk).sum() + 1) / (n.sum() + 10)
-        rate = np.stack([np.einsum("p,plv->lv", n * q, one) + 1 for q in (junk, 1 - junk)])
-        rate /= rate.sum(-1, keepdims=True)
-        rate[1, :, 1] = np.minimum(rate[1, :, 1], rate[0, :, 1])
-        ll = np.einsum("plv,clv->pc", one, np.log(rate)) + np.log([share, 1 - share])
-        junk = 1 / (1 + np.exp(np.clip(ll[:, 1] - ll[:, 0], -500, 500)))
-    return dict(zip(keys, 1 - junk, strict=True)), rate, share
-
-
-def fit(x: np.ndarray, y: np.ndarray, steps: int = 400, decay: float = 2e-5) -> np.ndarray:
-    """Weights and, last, the bias of a logistic model of soft labels y, by accelerated gradient descent."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w = z = np.zeros(x.shape[1], np.float32)
-    rate = 4 / max(float((x * x).sum(1).mean()), 1e-9)
-    for i in range(steps):
-        g = x.T @ (1 / (1 + np.exp(-(x @ z))) - y).astype(np.float32) / max(len(x), 1)
-        g[:-1] += decay * z[:-1]
-        step = z - rate * g
-        z, w = step + i / (i + 3) * (step - w), step
-    return w
-
-
 def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> dict:
     """The model: votes of all documents are counted; the scorer is fitted on at most `sample` documents."""
     pattern = T.StructType([T.StructField("pattern", T.StringType())])
@@ -109,7 +74,7 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int
         return lambda t: (votes(statistics(t or "", code_points(t or ""))),)
 
     counted = map_rows(docs.select(F.col(text)), pattern, [], voter, [text]).groupBy("pattern").count()
-    good, rate, share = posteriors({r[0]: r[1] for r in counted.collect()})
+    junk, rate, share = posteriors({r[0]: r[1] for r in counted.collect()}, len(LABELLERS))
     few = bounded_sample(docs.select(F.col(key).alias("id")).where("id is not null").distinct(), "id", sample)
     chosen = docs.join(F.broadcast(few), docs[key] == few["id"], "left_semi").select(F.col(text))
     sampled = T.StructType([*pattern.fields, T.StructField("x", T.BinaryType())])
@@ -127,7 +92,7 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int
         return {"w": np.zeros(BUCKETS + 1, np.float32), "rate": rate, "share": share}
     rows.sort(key=lambda r: (r[0], bytes(r[1])))
     x = np.frombuffer(b"".join(r[1] for r in rows), np.float16).reshape(len(rows), -1).astype(np.float32)
-    return {"w": fit(SCALE * x, np.array([good[r[0]] for r in rows])), "rate": rate, "share": share}
+    return {"w": fit(SCALE * x, 1 - np.array([junk[r[0]] for r in rows])), "rate": rate, "share": share}
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", keep_columns: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("quality_score", "keep")) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 
-def posteriors(patterns: dict[str, int], labellers: int, steps: int = 30, start: tuple[float, float] = (0.9, 0.02)) -> tuple[dict[str, float], np.ndarray, float]:
+def posteriors(patterns: dict[str, int], labellers: int, steps: int = 500, start: tuple[float, float] = (0.9, 0.02)) -> tuple[dict[str, float], np.ndarray, float]:
     """Pattern of votes -> probability of class 1, from the counts of all patterns.
 
     A pattern has a digit for each labeller: 1 and 2 vote for these classes, 0 for none. Also returns how each
