@@ -46,17 +46,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _MADE.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
 
 
 def drop_written(df: DataFrame) -> None:
-    """Delete the files of a table that written() made and that nothing will read again."""
-    spark = df.sparkSession
-    for x in list(_MADE):
-        if any(f.startswith(x[1].removeprefix("file://")) or x[1] in f for f in (p.replace("file:/", "/").replace("///", "/") for p in df.inputFiles()[:1])):
-            _MADE.remove(x)
-            where = spark._jvm.org.apache.hadoop.fs.Path(x[1])
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    """Delete the files of a table that written() gave and that nothing will read again."""
+    spark, path = df.sparkSession, df._written_at
+    _MADE.remove((spark, path))
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def map_rows(df: DataFrame, schema: T.StructType, keep: list[str], row: Callable[[], Callable[..., tuple]], read: list[str]) -> DataFrame:
