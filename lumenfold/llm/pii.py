@@ -36,7 +36,7 @@ LABELLERS = ("strict pattern", "check digits", "gazetteer", "context for", "cont
 # Frequent given names, titles, and words that speak for or against personal data.
 GIVEN_NAMES = frozenset(
     "james mary robert patricia john jennifer michael linda david elizabeth william barbara richard susan joseph jessica thomas sarah charles karen"
-    " anna peter maria paul hans klaus ursula jürgen sabine pierre marie jean michel nathalie claude juan carmen josé antonio manuel lucía".split()
+    " anna peter maria paul hans klaus ursula jürgen sabine pierre marie jean michel nathalie philippe juan carmen josé antonio manuel lucía".split()
 )
 TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Señora")
 FOR = frozenset("ssn social passport born birth birthday dob iban account konto phone tel telephone mobile fax call contact name mr mrs ms dr geboren telefon né née teléfono nacido nacida".split())
