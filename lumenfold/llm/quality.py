@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenfold.llm.common import bounded_sample, code_points, grams, map_rows
+from lumenfold.llm.common import bounded_sample, code_points, drop_written, grams, map_rows, written
 from lumenfold.llm.weak_labels import fit, posteriors
 
 #: Hash buckets of the scorer; documents it is fitted on; score from which a document is kept.
@@ -67,30 +67,26 @@ def features(codes: np.ndarray, s: dict[str, float], buckets: int = BUCKETS) ->
 
 
 def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> dict:
-    """The model: votes of all documents are counted; the scorer is fitted on at most `sample` documents."""
-    pattern = T.StructType([T.StructField("pattern", T.StringType())])
+    """The model, from one pass over the texts: votes of all documents, features of at most `sample` of them."""
+    few = bounded_sample(docs.select(F.col(key).alias("_id")).where("_id is not null").distinct(), "_id", sample)
+    marked = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(few.withColumn("_sampled", F.lit(True))), "_id", "left").select("_text", "_sampled")
+    schema = T.StructType([T.StructField("pattern", T.StringType()), T.StructField("x", T.BinaryType())])
 
-    def voter():
-        return lambda t: (votes(statistics(t or "", code_points(t or ""))),)
-
-    counted = map_rows(docs.select(F.col(text)), pattern, [], voter, [text]).groupBy("pattern").count()
-    junk, rate, share = posteriors({r[0]: r[1] for r in counted.collect()}, len(LABELLERS))
-    few = bounded_sample(docs.select(F.col(key).alias("id")).where("id is not null").distinct(), "id", sample)
-    chosen = docs.join(F.broadcast(few), docs[key] == few["id"], "left_semi").select(F.col(text))
-    sampled = T.StructType([*pattern.fields, T.StructField("x", T.BinaryType())])
-
-    def described():
-        def row(t):
+    def looked_at():
+        def row(t, sampled):
             codes = code_points(t or "")
             s = statistics(t or "", codes)
-            return votes(s), features(codes, s).astype(np.float16).tobytes()
+            return votes(s), features(codes, s).astype(np.float16).tobytes() if sampled else None
 
         return row
 
-    rows = map_rows(chosen, sampled, [], described, [text]).limit(2 * sample).collect()
+    seen = written(map_rows(marked, schema, [], looked_at, ["_text", "_sampled"]), "votes")
+    junk, rate, share = posteriors({r[0]: r[1] for r in seen.groupBy("pattern").count().collect()}, len(LABELLERS))
+    # equal documents once; repeated ids can't make it more than the sample
+    rows = seen.where("x is not null").distinct().orderBy(F.xxhash64("pattern", "x"), "pattern", "x").limit(sample).collect()
+    drop_written(seen)
     if not rows:
         return {"w": np.zeros(BUCKETS + 1, np.float32), "rate": rate, "share": share}
-    rows.sort(key=lambda r: (r[0], bytes(r[1])))
     x = np.frombuffer(b"".join(r[1] for r in rows), np.float16).reshape(len(rows), -1).astype(np.float32)
     return {"w": fit(SCALE * x, 1 - np.array([junk[r[0]] for r in rows])), "rate": rate, "share": share}
 
