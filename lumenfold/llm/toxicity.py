@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenfold.llm.common import bounded_sample, code_points, grams, map_rows
+from lumenfold.llm.common import bounded_sample, code_points, drop_written, grams, map_rows, written
 
 #: log2 of the hash buckets; n-gram lengths; labelled rows to learn from; n-grams kept; score from which a text is toxic.
 BITS, LENGTHS, SAMPLE, KEPT, THRESHOLD = 20, (3, 4, 5, 6), 12_000, 4096, 0.7
@@ -46,7 +46,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """The model, from the rows of labels (key, label); the caller leaves held-out rows out."""
     few = bounded_sample(labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(label).alias("label")).where("id is not null"), "id", sample)
     rows = docs.join(F.broadcast(few), docs[key] == few["id"]).select(few["label"].cast("int").alias("label"), docs[text].alias("t"))
-    rows = rows.repartition(TASKS, F.xxhash64("t"))
+    # at most `sample` texts, written once: the corpus is read once to learn and once to score
+    rows = written(rows, "labelled")
+    dealt = rows.repartition(TASKS, F.xxhash64("t"))
     size = (1 << BITS) // BLOCKS
     counted = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("label", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("counts", T.BinaryType())])
 
@@ -87,7 +89,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return pd.DataFrame({"bucket": (top + int(key_[0]) * size).astype(np.int32), "r": r[top], "z": z[top]})
 
     # bounded by BLOCKS x KEPT rows
-    found = rows.mapInArrow(count, counted).groupBy("block").applyInPandas(ratio, kept).collect()
+    found = dealt.mapInArrow(count, counted).groupBy("block").applyInPandas(ratio, kept).collect()
     found = sorted(found, key=lambda x: (-abs(x[2]), x[0]))[:KEPT]
     table = np.full(1 << BITS, -1, np.int16)
     for i, x in enumerate(found):
@@ -98,6 +100,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return lambda t: (np.unique((j := table[buckets(t)])[j >= 0]).tobytes(),)
 
     shown = map_rows(rows, T.StructType([T.StructField("label", T.IntegerType()), T.StructField("on", T.BinaryType())]), ["label"], present, ["t"]).collect()
+    drop_written(rows)
     different = sorted({(int(x[0] > 0), bytes(x[1])) for x in shown})
     y = np.array([x[0] for x in different], np.float64)
     base = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if len(y) else 0.0
