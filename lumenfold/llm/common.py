@@ -59,6 +59,17 @@ def drop_written(df: DataFrame) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows of a few numbers each that may be broadcast: about 50 MB.
+BROADCAST_ROWS = 500_000
+
+
+def sized(few: DataFrame) -> DataFrame:
+    """few, a written table of narrow rows, as the lesser side of a join: broadcast if its counted rows are below
+    BROADCAST_ROWS, so that the other side stays where it is; else hashed by partition, so that the other side
+    needn't be sorted. The result is the same."""
+    return F.broadcast(few) if few.count() <= BROADCAST_ROWS else few.hint("shuffle_hash")
+
+
 def map_rows(df: DataFrame, schema: T.StructType, keep: list[str], row: Callable[[], Callable[..., tuple]], read: list[str]) -> DataFrame:
     """Map each row in Arrow batches: the columns `keep` pass through, and row()(*values of `read`) gives the rest of `schema`.
 

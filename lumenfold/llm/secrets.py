@@ -3,7 +3,8 @@
 required() derives from each rule's pattern a Boolean query over trigrams (of lower-case text): the literal
 runs that every match must hold, alternatives joined by OR. The index has a posting (trigram, document) for
 every trigram that some rule needs; intersecting the postings by a rule's query gives its candidate
-documents, which alone are verified by the rule's regex. Rules without a mandatory trigram (runs of hex
+documents, which alone are verified by the rule's regex; they are written once and joined to the texts by a
+broadcast while they are few, else by a shuffle. Rules without a mandatory trigram (runs of hex
 digits, say) scan every document.
 
 The index is keyed by document id and a hash of the text, so repeated ids, null ids and repeated rows are
@@ -20,6 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.llm.common import sized, written
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -141,10 +144,9 @@ def _count(kind: int) -> Column:
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with _spans: array<struct<start,kind,end>>, kind as a position in rules."""
     trigrams, queries = plans(rules)
-    named = candidates(postings(docs, trigrams, key, text), trigrams, queries)
+    named = written(candidates(postings(docs, trigrams, key, text), trigrams, queries).withColumnRenamed("_hash", "_at2"), "candidates")
     rows = docs.withColumn("_at", F.xxhash64(F.col(text)))
-    # hashed per partition, so that texts needn't be sorted
-    joined = rows.join(named.withColumnRenamed("_hash", "_at2").hint("shuffle_hash"), rows[key].eqNullSafe(F.col("_doc")) & (rows["_at"] == F.col("_at2")), "left")
+    joined = rows.join(sized(named), rows[key].eqNullSafe(F.col("_doc")) & (rows["_at"] == F.col("_at2")), "left")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     found = []
     for i, rule in enumerate(rules):

@@ -26,7 +26,11 @@ def secret_texts(make_prose):
     return [" ".join(rng.choice([make_prose(rng, 4), *parts]) for _ in range(rng.randint(0, 12))) for _ in range(300)] + ["", None]
 
 
-def test_secrets_against_plain_regexes(spark, make_prose):
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_secrets_against_plain_regexes(spark, make_prose, monkeypatch, most):
+    from lumenfold.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most)
     texts = secret_texts(make_prose)
     got = {r["doc_id"]: r for r in secrets.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     for i, t in enumerate(texts):
