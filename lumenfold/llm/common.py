@@ -59,6 +59,13 @@ def drop_written(df: DataFrame) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that fewer texts are Python objects at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 #: Rows of a few numbers each that may be broadcast: about 50 MB.
 BROADCAST_ROWS = 500_000
 
@@ -80,7 +87,7 @@ def map_rows(df: DataFrame, schema: T.StructType, keep: list[str], row: Callable
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = row()
-        for b in batches:
+        for b in sliced(batches):
             made = [f(*x) for x in zip(*(b.column(c).to_pylist() for c in read), strict=True)]
             cols = {c: b.column(c) for c in keep} | {x.name: pa.array([r[i] for r in made], types[x.name]) for i, x in enumerate(rest)}
             yield pa.RecordBatch.from_arrays([cols[f.name] for f in schema.fields], names=schema.names)

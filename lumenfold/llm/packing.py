@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenfold.llm.common import sliced
+
 #: Tokens of a sequence; the id that ends a document; documents (or full pieces' worth) in a group; bits of a bin's number.
 LENGTH, END, GROUP, BIN_BITS = 1024, 0, 8192, 24
 
@@ -87,7 +89,7 @@ def pieces(docs: DataFrame, json_path: str, ranks_path: str, groups: int, text:
 
     def run(batches):
         encode, part, count = tokenizer(json_path, ranks_path), TaskContext.get().partitionId(), 0
-        for b in batches:
+        for b in sliced(batches):
             rows, take = [], []
             for i, t in enumerate(b.column(1).to_pylist()):
                 ids = np.append(encode(t) if t else np.empty(0, np.uint32), np.uint32(end)).astype("<u4")

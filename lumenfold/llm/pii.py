@@ -182,7 +182,8 @@ def train(found: DataFrame, sample: int = SAMPLE) -> dict:
     few = spans.distinct().orderBy(F.xxhash64("votes", "features"), "votes", "features").limit(sample).collect()
     if not few:
         return {"w": np.zeros(BUCKETS + 1, np.float32), "rate": rate, "share": share}
-    x = np.zeros((len(few), BUCKETS), np.float32)
+    x = np.zeros((len(few), BUCKETS + 1), np.float32)
+    x[:, -1] = 1
     for i, r in enumerate(few):
         x[i, r[1]] = 1
     return {"w": fit(x, np.array([personal[r[0]] for r in few])), "rate": rate, "share": share}

@@ -25,7 +25,7 @@ from lumenfold.llm.common import bounded_sample, code_points, drop_written, gram
 from lumenfold.llm.weak_labels import fit, posteriors
 
 #: Hash buckets of the scorer; documents it is fitted on; score from which a document is kept.
-BUCKETS, SAMPLE, THRESHOLD = 4096, 4000, 0.5
+BUCKETS, SAMPLE, THRESHOLD = 2048, 4000, 0.5
 LABELLERS = ("shouting", "exclaiming", "symbols", "table cells", "repeated lines", "repeated words", "digits", "prose marks", "sentence case", "varied words")
 #: Features are scaled by it for the descent.
 SCALE = 5
@@ -87,8 +87,12 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int
     drop_written(seen)
     if not rows:
         return {"w": np.zeros(BUCKETS + 1, np.float32), "rate": rate, "share": share}
-    x = np.frombuffer(b"".join(r[1] for r in rows), np.float16).reshape(len(rows), -1).astype(np.float32)
-    return {"w": fit(SCALE * x, 1 - np.array([junk[r[0]] for r in rows])), "rate": rate, "share": share}
+    x, y = np.ones((len(rows), BUCKETS + 1), np.float32), np.zeros(len(rows))
+    for i, r in enumerate(rows):
+        x[i, :-1] = np.frombuffer(r[1], np.float16)
+        x[i, :-1] *= SCALE
+        y[i] = 1 - junk[r[0]]
+    return {"w": fit(x, y), "rate": rate, "share": share}
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", keep_columns: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("quality_score", "keep")) -> DataFrame:

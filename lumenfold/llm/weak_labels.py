@@ -31,10 +31,10 @@ def posteriors(patterns: dict[str, int], labellers: int, steps: int = 500, start
 
 
 def fit(x: np.ndarray, y: np.ndarray, steps: int = 400, decay: float = 2e-5) -> np.ndarray:
-    """Weights and, last, the bias of a logistic model of soft labels y, by accelerated gradient descent."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    """Weights and, last, the bias of a logistic model of soft labels y, by accelerated gradient descent. The last
+    column of x is ones: the caller makes it, as x may be large."""
     w = z = np.zeros(x.shape[1], np.float32)
-    rate = 4 / max(float((x * x).sum(1).mean()), 1e-9)
+    rate = 4 / max(float(np.einsum("ij,ij->", x, x)) / max(len(x), 1), 1e-9)
     for i in range(steps):
         g = x.T @ (1 / (1 + np.exp(-np.clip(x @ z, -50, 50))) - y).astype(np.float32) / max(len(x), 1)
         g[:-1] += decay * z[:-1]

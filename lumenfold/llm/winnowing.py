@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenfold.llm.common import code_points, map_rows, mixed
+from lumenfold.llm.common import code_points, map_rows, mixed, sliced
 
 #: Characters of a gram; grams of a window: runs of 64 characters are always found.
 K, W = 20, 45
@@ -138,7 +138,7 @@ def compare_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     def run(batches):
         held = served = None  # the row that waits for its next one; a range whose guest has come
-        for b in batches:
+        for b in sliced(batches):
             ids, made = [], []
             for i, t, r, guest in zip(*(b.column(c).to_pylist() for c in ("_id", "_text", "_range", "_guest")), strict=True):
                 if guest and served == r:
