@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,18 +22,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a local one only where it is unset."""
+    """The folder of spark.checkpoint.dir, which the driver and all executors share."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file://{tempfile.gettempdir()}/lumenfold-checkpoints"
-    return at.rstrip("/")
+    if at:
+        return at.rstrip("/")
+    if spark.sparkContext.master.startswith("local["):  # one process, so its own temporary folder is shared
+        return f"file://{tempfile.gettempdir()}/lumenfold-checkpoints"
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _sweep() -> None:
     for spark, path in _MADE:
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may have gone; the folder is only scratch space
             pass
 
@@ -55,8 +62,35 @@ def drop_written(df: DataFrame) -> None:
     """Delete the files of a table that written() gave and that nothing will read again."""
     spark, path = df.sparkSession, df._written_at
     _MADE.remove((spark, path))
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _delete(spark, path)
+
+
+def tidy(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """f, whose result is itself a written table (or reads none): the other tables that were written meanwhile go at once."""
+
+    @functools.wraps(f)
+    def run(*args, **options) -> DataFrame:
+        before = len(_MADE)
+        out = f(*args, **options)
+        for made in _MADE[before:]:
+            if made[1] != getattr(out, "_written_at", None):
+                _MADE.remove(made)
+                _delete(*made)
+        return out
+
+    return run
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until df has no column of that name: for columns that stand beside those of the input."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
