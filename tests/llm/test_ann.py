@@ -53,11 +53,52 @@ def test_unusable_vectors_and_few_candidates(spark):
 
 def test_partial_distances_reject_only_what_is_far():
     rng = np.random.default_rng(2)
-    ix = ann.Index(np.arange(200), rng.normal(size=(200, 64)), 20.0, 200, 20, 0.98)
-    x = ix.place(rng.normal(size=(5000, 64)))
-    q = ix.queried(rng.normal(size=(1, 64)))[0]
-    d = ((x - q) ** 2).sum(1)
-    limit = np.sort(d)[19]
-    alive = ann.scan(ix, x, q, limit)
-    near = set(np.argsort(d)[:20].tolist())
-    assert len(near & set(alive.tolist())) >= 18 and len(alive) <= 25
+    ix = ann.Index(rng.normal(size=(200, 64)), 20.0, 200, 20, 0.98)
+    raw, asked = rng.normal(size=(5000, 64)), rng.normal(size=(3, 64))
+    x, q = ix.place(raw), ix.queried(asked)
+    d = ((x[None] - q[:, None]) ** 2).sum(2)
+    limit = np.sort(d, 1)[:, 19]
+    i, j = ann.survivors(x, q, limit.astype(float))
+    for n in range(3):
+        near = set(np.argsort(d[n])[:20].tolist())
+        assert len(near & set(j[i == n].tolist())) >= 18 and (i == n).sum() <= 25
+    everything = ann.survivors(x, q, np.full(3, np.inf))
+    assert len(everything[0]) == 15_000
+
+
+def test_thresholds_fall_while_scanning(monkeypatch):
+    rng = np.random.default_rng(3)
+    ix = ann.Index(rng.normal(size=(200, 64)), 20.0, 200, 20, 0.98)
+    x, v = rng.normal(size=(5000, 64)), rng.normal(size=(300, 64))
+    seen, plain = [], ann.survivors
+
+    def watched(placed, q, limit):
+        seen.append(limit.copy())
+        return plain(placed, q, limit)
+
+    monkeypatch.setattr(ann, "survivors", watched)
+    q, ids, s = ann.scan(ix, x, np.arange(5000), v, np.full(300, -1), np.full(300, np.inf))
+    first = [f for f in seen if len(f) == ann.ASKED]
+    assert np.isinf(first[0]).all() and all((b <= a).all() for a, b in zip(first, first[1:], strict=False)) and (first[-1] < first[1]).mean() > 0.9
+    hit = sum(len(set(ids[q == i]) & set(np.argsort(-(x @ v[i]))[:20])) for i in range(300))
+    assert hit / 6000 > 0.95 and np.bincount(q).max() == 20
+    assert np.allclose(s, (x[ids] * v[q]).sum(1), rtol=1e-12)
+
+
+def test_answers_come_from_the_scan_alone(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(300, 8)))]
+    df = table(spark, rows)
+    assert ann.search(df, F.col("vec_id") % 20 == 0).count() == 300
+    monkeypatch.setattr(ann.Index, "_probes", lambda self, *a: 0)
+    assert ann.search(df, F.col("vec_id") % 20 == 0).count() == 0  # no list is scanned
+
+
+def test_names_that_clash_and_ids_with_several_vectors(spark):
+    rows = [(i, [float(i % 7 + 1), 1.0 + i], 1, 2, True, 3, 0.5) for i in range(40)] + [(3, [-9.0, 0.5], 1, 2, True, 3, 0.5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, id int, v int, asks boolean, list int, score double")
+    got = ann.search(df, F.col("vec_id") % 20 == 0, 50).orderBy("query_id", "rank").collect()
+    assert len(got) == 2 * 39 and got[0]["query_id"] == 0
+    x = {i: v for i, v, *_ in rows}  # the last of id 3 is its least
+    for r in got:
+        assert r["score"] == sum(a * b for a, b in zip(x[r["query_id"]], x[r["vec_id"]], strict=True))
