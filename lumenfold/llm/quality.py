@@ -8,8 +8,9 @@
    documents (`sample`, the first by a hash of doc_id) and then scores every document.
 
 Null texts count as empty ones; an empty text scores 0 and is rejected, as it holds nothing to train
-on. Copies get equal scores. Empty tables give empty results. Other columns of the input pass through
-when `keep_columns` asks for them.
+on. Copies and repeated rows get equal scores; a score of exactly THRESHOLD is kept. Documents without an id are
+voted on and scored, but not fitted on. Texts are read whole, one at a time. Empty tables give empty results. Other
+columns of the input pass through when `keep_columns` asks for them, whatever their names but for `names`.
 """
 
 from __future__ import annotations
@@ -83,15 +84,15 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int
     seen = written(map_rows(marked, schema, [], looked_at, ["_text", "_sampled"]), "votes")
     junk, rate, share = posteriors({r[0]: r[1] for r in seen.groupBy("pattern").count().collect()}, len(LABELLERS))
     # equal documents once; repeated ids can't make it more than the sample
-    rows = seen.where("x is not null").distinct().orderBy(F.xxhash64("pattern", "x"), "pattern", "x").limit(sample).collect()
+    rows = seen.where("x is not null").distinct().orderBy(F.xxhash64("pattern", "x"), "pattern", "x").limit(sample).toArrow()
     drop_written(seen)
-    if not rows:
+    if not rows.num_rows:
         return {"w": np.zeros(BUCKETS + 1, np.float32), "rate": rate, "share": share}
-    x, y = np.ones((len(rows), BUCKETS + 1), np.float32), np.zeros(len(rows))
-    for i, r in enumerate(rows):
-        x[i, :-1] = np.frombuffer(r[1], np.float16)
-        x[i, :-1] *= SCALE
-        y[i] = 1 - junk[r[0]]
+    x, y = np.ones((rows.num_rows, BUCKETS + 1), np.float32), 1 - np.array([junk[p] for p in rows.column("pattern").to_pylist()])
+    for i, raw in enumerate(rows.column("x")):
+        x[i, :-1] = np.frombuffer(raw.as_buffer(), np.float16)
+    del rows
+    x[:, :-1] *= SCALE
     return {"w": fit(x, y), "rate": rate, "share": share}
 
 

@@ -5,23 +5,28 @@ over all of these, every hashed n-gram is counted by class; its log-count ratio
 common it is in toxic texts, and its z-score whether that is more than chance. The n-grams of the largest
 |z| stay, and a logistic model over presence x r learns their weights.
 
-A score is a function of the text alone, so copies agree. Null texts count as empty; an empty text gets
-the model's base rate. Without labels of both classes every score is the (smoothed) base rate.
+A score is a function of the text alone, so copies and repeated rows agree. Null texts count as empty; an empty text
+gets the model's base rate. Without labels of both classes, or with empty tables, every score is the (smoothed) base
+rate. Copies of one label are learnt from once; labels without an id, and documents without one, teach nothing; of
+several labels of one id the toxic one holds. Texts are read whole, one at a time, so a very long one takes its own
+length in memory. N-grams of equal |z| go by bucket. Columns beside key, text and label are ignored or, when
+`keep_columns` asks for them, passed through; `names` must not be among these.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenfold.llm.common import bounded_sample, code_points, drop_written, grams, map_rows, written
+from lumenfold.llm.common import bounded_sample, code_points, drop_written, grams, map_rows, sliced, written
 
 #: log2 of the hash buckets; n-gram lengths; labelled rows to learn from; n-grams kept; score from which a text is toxic.
 BITS, LENGTHS, SAMPLE, KEPT, THRESHOLD = 20, (3, 4, 5, 6), 12_000, 4096, 0.7
-#: Counts of a class are gathered in so many blocks of buckets, by so many tasks.
-BLOCKS, TASKS = 32, 8
+#: Counts are gathered in so many blocks of buckets; a block's places fit 16 bits.
+BLOCKS = 32
 
 
 def buckets(text: str, bits: int = BITS) -> np.ndarray:
@@ -45,52 +50,44 @@ def held_out(key: str = "doc_id") -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> dict:
     """The model, from the rows of labels (key, label); the caller leaves held-out rows out."""
     few = bounded_sample(labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(label).alias("label")).where("id is not null"), "id", sample)
-    rows = docs.join(F.broadcast(few), docs[key] == few["id"]).select(few["label"].cast("int").alias("label"), docs[text].alias("t"))
-    # at most `sample` texts, written once: the corpus is read once to learn and once to score
-    rows = written(rows, "labelled")
-    dealt = rows.repartition(TASKS, F.xxhash64("t"))
+    rows = docs.join(F.broadcast(few), docs[key] == few["id"]).select((few["label"] > 0).cast("int").alias("label"), F.coalesce(docs[text], F.lit("")).alias("t"))
+    # at most `sample` texts, written once: the corpus is read once to learn and once to score; copies teach nothing new
+    rows = written(rows.distinct(), "labelled")
     size = (1 << BITS) // BLOCKS
-    counted = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("label", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("counts", T.BinaryType())])
 
     def count(batches):
-        import pyarrow as pa
-
-        c, n, flags, seen = np.zeros((2, 1 << BITS), np.uint32), [0, 0], np.zeros(1 << BITS, bool), set()
-        for b in batches:
+        """Of this task's texts, how many of each class hold each n-gram: only those that some hold, by block."""
+        c, n, flags = np.zeros((2, 1 << BITS), np.uint32), [0, 0], np.zeros(1 << BITS, bool)
+        for b in sliced(batches, 64):
             for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                y = int(y > 0)
-                if (y, t) in seen:  # copies teach nothing new
-                    continue
-                seen.add((y, t))
                 flags[buckets(t)] = True
                 on = np.flatnonzero(flags)
                 flags[on] = False
                 c[y][on] += 1
                 n[y] += 1
         for y in (0, 1):
-            for k in range(BLOCKS):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([y], pa.int32()), pa.array([n[y]], pa.int64()), pa.array([c[y][k * size : (k + 1) * size].tobytes()], pa.binary())], names=["block", "label", "n", "counts"])
-
-    kept = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("r", T.DoubleType()), T.StructField("z", T.DoubleType())])
-
-    def ratio(key_, pdf):
-        import pandas as pd
-
+            if n[y]:
+                on = np.flatnonzero(c[y])
+                cuts = np.searchsorted(on, np.arange(BLOCKS + 1) * size)
+                parts = [on[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(range(BLOCKS), pa.int32()), pa.array([y] * BLOCKS, pa.int32()), pa.array([n[y]] * BLOCKS, pa.int64()), pa.array([(p % size).astype(np.uint16).tobytes() for p in parts], pa.binary()), pa.array([c[y][p].tobytes() for p in parts], pa.binary())],
+                    names=["block", "label", "n", "at", "counts"],
+                )
+
+    def ratio(key_, t):
         c, n = np.zeros((2, size)), np.zeros(2)
-        for y, m, raw in zip(pdf["label"], pdf["n"], pdf["counts"], strict=True):
-            c[y] += np.frombuffer(raw, np.uint32)
+        for y, m, at, raw in zip(*(t.column(x).to_pylist() for x in ("label", "n", "at", "counts")), strict=True):
+            c[y][np.frombuffer(at, np.uint16)] += np.frombuffer(raw, np.uint32)
             n[y] += m
-        q, p = (c[1] + 0.5) / (n[1] + 1), (c[0] + 0.5) / (n[0] + 1)
-        r = np.log(q / p)
-        z = r / np.sqrt(1 / (c[1] + 0.5) + 1 / (c[0] + 0.5))
-        z = np.where(c.sum(0) >= 3, z, 0)
+        r, z = log_count_ratios(c, n)
         top = np.argsort(-np.abs(z), kind="stable")[:KEPT]
         top = top[np.abs(z[top]) > 3]
-        return pd.DataFrame({"bucket": (top + int(key_[0]) * size).astype(np.int32), "r": r[top], "z": z[top]})
+        return pa.table([pa.array(top + key_[0].as_py() * size, pa.int32()), pa.array(r[top]), pa.array(z[top])], names=["bucket", "r", "z"])
 
-    # bounded by BLOCKS x KEPT rows
-    found = dealt.mapInArrow(count, counted).groupBy("block").applyInPandas(ratio, kept).collect()
-    found = sorted(found, key=lambda x: (-abs(x[2]), x[0]))[:KEPT]
+    counted = rows.select("label", "t").mapInArrow(count, "block int, label int, n long, at binary, counts binary")
+    # the most telling of all blocks, picked by the executors
+    found = counted.groupBy("block").applyInArrow(ratio, "bucket int, r double, z double").orderBy(F.desc(F.abs("z")), "bucket").limit(KEPT).collect()
     table = np.full(1 << BITS, -1, np.int16)
     for i, x in enumerate(found):
         table[x[0]] = i
@@ -99,9 +96,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     def present():
         return lambda t: (np.unique((j := table[buckets(t)])[j >= 0]).tobytes(),)
 
-    shown = map_rows(rows, T.StructType([T.StructField("label", T.IntegerType()), T.StructField("on", T.BinaryType())]), ["label"], present, ["t"]).collect()
+    shown = map_rows(rows, T.StructType([T.StructField("label", T.IntegerType()), T.StructField("on", T.BinaryType())]), ["label"], present, ["t"]).distinct().collect()
     drop_written(rows)
-    different = sorted({(int(x[0] > 0), bytes(x[1])) for x in shown})
+    different = sorted((x[0], bytes(x[1])) for x in shown)
     y = np.array([x[0] for x in different], np.float64)
     base = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if len(y) else 0.0
     if not len(found) or not 0 < y.sum() < len(y):
@@ -110,6 +107,14 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return {"table": table, **_fit(on, y, r)}
 
 
+def log_count_ratios(c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts of each class (n) and those of them that hold each n-gram (c): log ratio of the shares, and its z-score
+    (0 where fewer than three texts hold it)."""
+    q, p = (c[1] + 0.5) / (n[1] + 1), (c[0] + 0.5) / (n[0] + 1)
+    r = np.log(q / p)
+    return r, np.where(c.sum(0) >= 3, r / np.sqrt(1 / (c[1] + 0.5) + 1 / (c[0] + 0.5)), 0)
+
+
 def _fit(on: list[np.ndarray], y: np.ndarray, r: np.ndarray, steps: int = 300, decay: float = 3e-4) -> dict:
     """Logistic regression over presence x r; classes weigh alike by half."""
     at = np.repeat(np.arange(len(on)), [len(x) for x in on])
