@@ -1,27 +1,29 @@
 """Operator 7: secret scans over a trigram inverted index, in DataFrame functions only.
 
 required() derives from each rule's pattern a Boolean query over trigrams (of lower-case text): the literal
-runs that every match must hold, alternatives joined by OR. The index has a posting (trigram, document) for
-every trigram that some rule needs; intersecting the postings by a rule's query gives its candidate
-documents, which alone are verified by the rule's regex; they are written once and joined to the texts by a
-broadcast while they are few, else by a shuffle. Rules without a mandatory trigram (runs of hex
-digits, say) scan every document.
+runs that every match must hold, small classes and optional parts written out, alternatives joined by OR. The index
+has a posting (trigram, document) for every trigram that some rule needs; one regex, a trie of these trigrams, finds
+them in one pass over each text. The postings of a query's trigrams are intersected by counting, and what is in all
+of them is a candidate, which alone is verified by the rule's regex. Candidates are written once and joined to the
+texts by a broadcast while they are few, else by a shuffle. Rules without a mandatory trigram (runs of hex digits,
+say) scan every document.
 
 The index is keyed by document id and a hash of the text, so repeated ids, null ids and repeated rows are
-told apart or treated alike as their texts are. Null texts count as empty: no spans. An empty table gives
-an empty result. Spans are in code points, the end excluded, leftmost and non-overlapping in each kind.
+told apart or treated alike as their texts are. Null texts count as empty: no spans. Texts are scanned whole, however
+long. An empty table gives an empty result. Spans are in code points, the end excluded, leftmost and non-overlapping
+in each kind; spans of equal start are listed in the order of the rules. Columns beside key and text are ignored by
+digests() and kept by scan() and redacted(), whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import sized, written
+from lumenfold.llm.common import sized, unused, written
 
 
 @dataclass(frozen=True)
@@ -49,37 +51,46 @@ RULES = (
 )
 
 
+#: A class of up to so many characters is written out, as long as a pattern has no more ways than this.
+CLASS, WAYS = 8, 256
+
+
 def required(pattern: str) -> list[list[str]]:
     """The pattern's trigram query: any of these lists, all of its trigrams. [[]]: no mandatory trigram.
 
-    Literals are gathered along the parsed pattern; a class, an optional part or a repeat ends a run. Groups
-    and alternatives are followed; a repeat that must occur at least once counts once.
+    Literals are gathered along the parsed pattern; a larger class or a repeat ends a run. Groups, alternatives,
+    optional parts and small classes are followed; a repeat that must occur at least once counts once. A way that
+    holds all trigrams of another one says nothing more and goes.
     """
     from re import _constants as C
     from re import _parser
 
     def walk(tree) -> list[list[str]]:
-        """Ways to match: each a list of literal runs. A run that ends in None may not be joined to what follows."""
+        """Ways to match: each a list of literal runs, of which only the last may be joined to what follows."""
         ways: list[list[str]] = [[""]]
         for op, arg in tree:
+            once = op in (C.MAX_REPEAT, C.MIN_REPEAT) and arg[1] == 1
             if op is C.LITERAL:
-                ways = [[*w[:-1], w[-1] + chr(arg).lower()] for w in ways]
-                continue
-            if op is C.BRANCH:
+                inner = [[chr(arg).lower()]]
+            elif op is C.IN and all(o is C.LITERAL for o, _ in arg) and len(arg) <= CLASS:
+                inner = [[c] for c in sorted({chr(x).lower() for _, x in arg})]
+            elif op is C.BRANCH:
                 inner = [x for alternative in arg[1] for x in walk(alternative)]
             elif op is C.SUBPATTERN:
                 inner = walk(arg[3])
-            elif op in (C.MAX_REPEAT, C.MIN_REPEAT) and arg[0] == arg[1] == 1:
-                inner = walk(arg[2])
+            elif once:
+                inner = walk(arg[2]) + [[""]] * (arg[0] == 0)
             elif op in (C.MAX_REPEAT, C.MIN_REPEAT) and arg[0] >= 1:
                 inner = [["", *x, ""] for x in walk(arg[2])]
             else:
                 inner = [["", ""]]
+            if len(ways) * len(inner) > WAYS:
+                inner = [["", ""]]
             ways = [[*w[:-1], w[-1] + x[0], *x[1:]] for w in ways for x in inner]
         return ways
 
-    found = {tuple(sorted({run[i : i + 3] for run in way for i in range(len(run) - 2)})) for way in walk(_parser.parse(pattern))}
-    return [list(x) for x in sorted(found)] if all(found) else [[]]
+    found = {frozenset(run[i : i + 3] for run in way for i in range(len(run) - 2)) for way in walk(_parser.parse(pattern))}
+    return sorted(sorted(x) for x in found if not any(y < x for y in found))
 
 
 def plans(rules: tuple[Rule, ...]) -> tuple[list[str], dict[str, list[list[str]]]]:
@@ -88,29 +99,33 @@ def plans(rules: tuple[Rule, ...]) -> tuple[list[str], dict[str, list[list[str]]
     return sorted({t for q in by_rule.values() for way in q for t in way}), by_rule
 
 
-def _key(doc: Column, text: Column) -> list[Column]:
-    return [doc.alias("_doc"), F.xxhash64(text).alias("_hash")]
+def lookout(trigrams: list[str]) -> str:
+    """A regex that finds, at every character, the trigram that starts there, if it is one of these: group 1 of a match without width."""
+    tree: dict[str, dict[str, list[str]]] = {}
+    for t in trigrams:
+        tree.setdefault(t[0], {}).setdefault(t[1], []).append(t[2])
+    each = lambda parts: parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+    return "(?=(" + "|".join(re.escape(a) + each([re.escape(b) + each(list(map(re.escape, cs))) for b, cs in m.items()]) for a, m in tree.items()) + "))"
 
 
 def postings(docs: DataFrame, trigrams: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The inverted index, restricted to these trigrams: (_trigram, _doc, _hash), in runs of rows of one document."""
-    low = F.lower(F.col(text))
-    held = F.filter(F.array(*(F.when(F.contains(F.col("_low"), F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams))), lambda x: x.isNotNull())
-    return docs.select(*_key(F.col(key), F.col(text)), low.alias("_low")).select("_doc", "_hash", F.explode(held).alias("_trigram"))
+    """The inverted index, restricted to these trigrams: distinct (trigram, doc, hash), in runs of rows of one document."""
+    held = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(lookout(trigrams)), F.lit(1))) if trigrams else F.array().cast("array<string>")
+    return docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("hash"), F.explode(held).alias("trigram"))
 
 
-def candidates(index: DataFrame, trigrams: list[str], queries: dict[str, list[list[str]]]) -> DataFrame:
-    """(_doc, _hash, _rules): the documents that satisfy some rule's query, with the kinds of these rules."""
-    bit = {t: i for i, t in enumerate(trigrams)}
+def candidates(index: DataFrame, queries: dict[str, list[list[str]]]) -> DataFrame:
+    """(doc, hash, rules): the documents that satisfy some rule's query, with the kinds of these rules.
 
-    def mask(way: list[str]) -> int:
-        return sum(1 << bit[t] for t in way)
-
-    if len(trigrams) > 62:
-        raise ValueError("more than 62 trigrams need more than one mask")
-    rows = index.groupBy("_doc", "_hash").agg(F.expr("bit_or(shiftleft(1L, _trigram))").alias("_mask"))
-    kinds = [F.when(reduce(lambda a, b: a | b, (F.col("_mask").bitwiseAND(F.lit(mask(w))) == mask(w) for w in q)), F.lit(k)) for k, q in queries.items() if q != [[]]]
-    return rows.select("_doc", "_hash", F.filter(F.array(*kinds), lambda x: x.isNotNull()).alias("_rules")).where(F.size("_rules") > 0)
+    A posting counts for every way that needs its trigram; a document with as many as the way has trigrams is in the
+    intersection of its postings. Counts are combined before they are shuffled, so a common trigram is no hot key.
+    """
+    ways = [(kind, i, way) for kind, q in queries.items() for i, way in enumerate(q) if way]
+    needs = [F.struct(F.lit(kind).alias("rule"), F.lit(i).alias("way"), F.lit(len(way)).alias("all"), F.lit(t).alias("trigram")) for kind, i, way in ways for t in way]
+    needs = index.sparkSession.range(1).select(F.inline(F.array(*needs))) if needs else index.sparkSession.sql("SELECT '' AS rule, 0 AS way, 0 AS all, '' AS trigram WHERE false")
+    # a row for each trigram of each way
+    met = index.distinct().join(F.broadcast(needs), "trigram").groupBy("doc", "hash", "rule", "way", "all").count().where("count = all")
+    return met.groupBy("doc", "hash").agg(F.collect_set("rule").alias("rules"))
 
 
 def spans_of(text: Column, rule: Rule) -> Column:
@@ -137,39 +152,40 @@ def _of_kind(spans: Column, kind: int) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end")))
 
 
-def _count(kind: int) -> Column:
-    return F.size(F.filter("_spans", lambda s: s["kind"] == kind)).cast("long")
+def _count(spans: Column, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with _spans: array<struct<start,kind,end>>, kind as a position in rules."""
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text", into: str = "spans", index: DataFrame | None = None) -> DataFrame:
+    """docs with a column `into`: array<struct<start,kind,end>>, kind as a position in rules. index: postings() of these
+    documents and (at least) these rules' trigrams, if they are already there."""
     trigrams, queries = plans(rules)
-    named = written(candidates(postings(docs, trigrams, key, text), trigrams, queries).withColumnRenamed("_hash", "_at2"), "candidates")
-    rows = docs.withColumn("_at", F.xxhash64(F.col(text)))
-    joined = rows.join(sized(named), rows[key].eqNullSafe(F.col("_doc")) & (rows["_at"] == F.col("_at2")), "left")
+    hash_, doc, other, kinds = unused(docs, "hash", "doc", "other", "rules")
+    named = written(candidates(postings(docs, trigrams, key, text) if index is None else index, queries), "candidates").toDF(doc, other, kinds)
+    rows = docs.withColumn(hash_, F.xxhash64(F.col(text)))
+    joined = rows.join(sized(named), rows[key].eqNullSafe(F.col(doc)) & (rows[hash_] == F.col(other)), "left")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     found = []
     for i, rule in enumerate(rules):
         hits = _of_kind(spans_of(F.col(text), rule), i)
-        if queries[rule.kind] == [[]]:
-            wanted = F.col(text).rlike(rule.pattern)
-        else:
-            wanted = F.array_contains(F.col("_rules"), rule.kind) & F.col(text).rlike(rule.pattern)
+        wanted = F.col(text).rlike(rule.pattern)
+        if [] not in queries[rule.kind]:
+            wanted = F.array_contains(F.col(kinds), rule.kind) & wanted
         found.append(F.when(wanted, hits).otherwise(none))
-    return joined.withColumn("_spans", F.array_sort(F.concat(*found))).drop("_doc", "_at", "_at2", "_rules")
+    return joined.withColumn(hash_, F.array_sort(F.concat(*found))).drop(doc, other, kinds).withColumnRenamed(hash_, into)
 
 
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with each stretch of text that spans cover replaced by mark; a null text stays null."""
-    whole = F.col(text)
+    whole, (spans,) = F.col(text), unused(docs, "spans")
 
     def step(acc: Column, s: Column) -> Column:
         opened = F.concat(acc["made"], F.substring(whole, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
         return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), opened.alias("made"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["made"].alias("made")))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("made"))
-    made = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["made"], F.substring(whole, acc["at"] + 1, F.length(whole))))
-    return scan(docs, rules, key, text).withColumn(text, F.when(F.size("_spans") > 0, made).otherwise(whole)).drop("_spans")
+    made = F.aggregate(spans, start, step, lambda acc: F.concat(acc["made"], F.substring(whole, acc["at"] + 1, F.length(whole))))
+    return scan(docs, rules, key, text, spans).withColumn(text, F.when(F.size(spans) > 0, made).otherwise(whole)).drop(spans)
 
 
 def listed(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -180,7 +196,7 @@ def listed(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 def digests(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: counts of base kinds, a digest of base spans, and all spans."""
     base = [i for i, r in enumerate(rules) if r.base]
-    rows = scan(docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text")), rules, key, "_text").select(key, "_spans")
-    counts = [_count(i).alias(f"n_{rules[i].kind}") for i in base]
-    own = F.filter("_spans", lambda s: s["kind"].isin(base))
-    return rows.select(key, *counts, F.sha2(listed(own, rules), 256).alias("base_sha256"), listed(F.col("_spans"), rules).alias("spans"))
+    rows = scan(docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")), rules, "id", "text")
+    own = F.filter("spans", lambda s: s["kind"].isin(base))
+    counts = [_count(F.col("spans"), i).alias(f"n_{rules[i].kind}") for i in base]
+    return rows.select(F.col("id").alias(key), *counts, F.sha2(listed(own, rules), 256).alias("base_sha256"), listed(F.col("spans"), rules).alias("spans"))

@@ -64,10 +64,76 @@ def test_trigram_queries():
     assert secrets.required("AKIA[A-Z0-9]+") == [["aki", "kia"]]
     assert secrets.required("[0-9a-f]{32,}") == [[]]
     assert secrets.required("ab(cd|ef)g") == [["abc", "bcd", "cdg"], ["abe", "bef", "efg"]]
-    assert secrets.required("abcd?efgh") == [["abc", "efg", "fgh"]]
+    assert secrets.required("abcd?efgh") == [["abc", "bcd", "cde", "def", "efg", "fgh"], ["abc", "bce", "cef", "efg", "fgh"]]
+    assert secrets.required("gh[pu]_") == [["ghp", "hp_"], ["ghu", "hu_"]]
+    assert secrets.required("gh[^p]_x") == secrets.required("gh[a-z]_x") == [[]]
     assert secrets.required("(abc)+xyz") == [["abc", "xyz"]]
-    assert secrets.required("(?:ab|[0-9])xyz") == [["abx", "bxy", "xyz"], ["xyz"]]
+    assert secrets.required("(?:ab|[0-9])xyz") == [["xyz"]]
     assert secrets.required("(?:abc|x)") == [[]]
+    assert all([] not in secrets.required(r.pattern) for r in secrets.RULES if r.kind != "hex")
+
+
+def test_lookout_finds_every_wanted_trigram():
+    rng = random.Random(25)
+    wanted = sorted({"".join(rng.choices("ab.-\\", k=3)) for _ in range(40)})
+    for _ in range(50):
+        t = "".join(rng.choices("ab.-\\c", k=80))
+        assert {m[1] for m in re.finditer(secrets.lookout(wanted), t)} == {t[i : i + 3] for i in range(78)} & set(wanted)
+
+
+def test_intersections_of_postings(spark, make_prose):
+    texts = [t or "" for t in secret_texts(make_prose)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    trigrams, queries = secrets.plans(secrets.RULES)
+    index = secrets.postings(docs, trigrams)
+    got = {r["doc"]: set(r["rules"]) for r in secrets.candidates(index, queries).collect()}
+    for i, t in enumerate(texts):
+        have = {t.lower()[k : k + 3] for k in range(len(t))}
+        assert got.get(i, set()) == {k for k, q in queries.items() if [] not in q and any(set(w) <= have for w in q)}
+    again = secrets.scan(docs, index=index).select("doc_id", "spans").collect()
+    assert sorted(again) == sorted(secrets.scan(docs).select("doc_id", "spans").collect())
+
+
+def test_more_trigrams_than_a_mask_has_bits(spark):
+    words = [f"{a}{b}{a}{b}x{a}" for a in "abcdefghij" for b in "klmnopqrst"]
+    rules = tuple(secrets.Rule(w, w + "[0-9]+", base=True) for w in words)
+    assert len(secrets.plans(rules)[0]) > 200
+    docs = spark.createDataFrame([(i, f"some {w}{i} text") for i, w in enumerate(words)], "doc_id long, text string")
+    rows = secrets.digests(docs, rules).select("doc_id", "spans").collect()
+    assert {r["doc_id"]: r["spans"] for r in rows} == {i: f"{w}:5:{5 + len(w) + len(str(i))}" for i, w in enumerate(words)}
+
+
+def test_added_kinds_against_plain_regexes(spark):
+    rng = random.Random(26)
+    alnum = "abcXYZ0189"
+    run = lambda n: "".join(rng.choices(alnum, k=n))
+    samples = {
+        "private_key": ["-----BEGIN PRIVATE KEY-----", "-----BEGIN EC PRIVATE KEY-----", "-----BEGIN public KEY-----"],
+        "github": [f"gh{c}_" + run(n) for c in "pousrx" for n in (35, 36, 40)],
+        "slack": [f"xox{c}-" + run(n) for c in "abprsz" for n in (9, 10)],
+        "google": ["AIza" + run(34), "AIza" + run(35), "aiza" + run(35)],
+        "jwt": [f"eyJ{run(n)}.eyJ{run(12)}.{run(11)}" for n in (9, 10, 20)] + ["eyJ" + run(20)],
+        "live_key": ["sk_live_" + run(n) for n in (15, 16)],
+    }
+    assert set(samples) == {r.kind for r in secrets.RULES if not r.base}
+    parts = [x for v in samples.values() for x in v]
+    texts = [" ".join(rng.choices([*parts, "plain words", "é😀"], k=6)) for _ in range(200)]
+    rows = secrets.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    met = set()
+    for r in rows:
+        t = texts[r["doc_id"]]
+        want = sorted((m.start(), i, m.end()) for i, rule in enumerate(secrets.RULES) if not rule.base for m in re.finditer(rule.pattern, t))
+        got = [x for x in r["spans"].split(",") if x and x.split(":")[0] in samples]
+        assert got == [f"{secrets.RULES[i].kind}:{s}:{e}" for s, i, e in want]
+        met |= {secrets.RULES[i].kind for _, i, _ in want}
+    assert met == set(samples)
+
+
+def test_names_that_clash(spark):
+    rows = [(1, "password: hunter2hunter2", 1, 2, 3, "x", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, doc int, hash int, other int, rules string, spans int")
+    assert secrets.redacted(docs).collect() == spark.createDataFrame([(1, "[SECRET]", 1, 2, 3, "x", 5)], docs.schema).collect()
+    assert secrets.scan(docs, into="found").columns == [*docs.columns, "found"]
 
 
 @settings(max_examples=200, deadline=None)
