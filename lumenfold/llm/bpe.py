@@ -7,8 +7,11 @@ text by the merge ranks would give just these two tokens. A position that led no
 the time is linear. Words are independent, so their ids are kept in a cache of bounded size.
 
 Normalising and splitting follow the tokenizer file. Texts of plain letters, digits and marks are split by an
-equivalent pattern here; texts with other characters are normalised and split by the library itself.
-Null texts count as empty: no ids, an empty decoded text.
+equivalent pattern here; texts with other characters are normalised and split by the library itself. Files of which
+ids don't fit 16 bits, or of which two merges make one token, are refused, as this encoder isn't made for them.
+Null texts count as empty: no ids, an empty decoded text. Texts are encoded whole, one at a time, in time and memory
+linear in their length. A text's ids depend on the text alone, so copies and repeated rows agree. An empty table
+gives an empty result. Columns beside the text are dropped or, when `keep_columns` asks for them, passed through.
 """
 
 from __future__ import annotations
@@ -51,8 +54,12 @@ class Encoder:
         model = spec["model"]
         vocab, self.end = model["vocab"], model.get("end_of_word_suffix") or ""
         self.library = Tokenizer.from_file(path)
+        if max(vocab.values(), default=0) > 0xFFFF or any(t["id"] > 0xFFFF for t in spec["added_tokens"]):
+            raise ValueError("this encoder is for vocabularies of at most 65,536 ids")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        marks = {t[:2] for t in self.special}
+        self._first_special = lambda text: any(m in text for m in marks)
         self._stand_in = {letter: b for b, letter in byte_letters().items()}
         # tokens are numbered by rank: first the symbols, then the merges in order
         text: list[str] = []
@@ -165,7 +172,7 @@ class Encoder:
         return b"".join(out)
 
     def encode(self, text: str) -> np.ndarray:
-        parts = self._split_special.split(text) if self._split_special and "<|" in text else [text]
+        parts = self._split_special.split(text) if self._split_special and self._first_special(text) else [text]
         out = []
         for p in parts:
             if p in self.special:

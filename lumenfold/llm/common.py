@@ -100,8 +100,8 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
             yield b.slice(i, rows)
 
 
-#: Rows of a few numbers each that may be broadcast: about 50 MB.
-BROADCAST_ROWS = 500_000
+#: Rows of a few numbers each that may be broadcast: about 15 MB.
+BROADCAST_ROWS = 100_000
 
 
 def sized(few: DataFrame) -> DataFrame:

@@ -1,12 +1,17 @@
 """Operator 8: documents packed into token sequences, first-fit decreasing.
 
 Each document is tokenized once, where it lies, and ends with an end id. It is cut into full sequences and one
-remainder; only the pieces' sizes move. Pieces are dealt at random into groups of about `group` documents'
-pieces, and each group is packed by itself: longest piece first, each into the first open bin with room, which
-a tournament tree of free room finds in log(bins) steps.
-
-Null texts count as empty (a document of the end id alone). Repeated rows are packed row by row. Rows of equal
-length are ordered by the place they were read at. An empty table gives no pieces.
+remainder; only the pieces' sizes move, and they are written once, as they are counted before they are dealt. A
+piece's draw is a hash of its document's id, its ids and its start, so that it is the same wherever the document lies
+and however often a task runs. Draws are dealt into groups of about `group` pieces; what more than twice as many
+equal draws would make too large (rows repeated very often) is dealt on by place in the written table. Each group is
+packed by itself: longest piece first, each into the first open bin with room, which a tournament tree of free room
+finds in log(bins) steps.
+
+Null texts count as empty (a document of the end id alone). Texts of any length are tokenized whole, one at a time.
+Repeated rows and repeated ids are packed row by row; null ids are ids like others. Pieces of equal length go by
+draw, then id and start. An empty table gives no pieces. Columns beside key and text are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -17,14 +22,13 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenfold.llm.common import sliced
+from lumenfold.llm.common import sized, sliced, written
 
-#: Tokens of a sequence; the id that ends a document; documents (or full pieces' worth) in a group; bits of a bin's number.
+#: Tokens of a sequence; the id that ends a document; pieces in a group, about; bits of a bin's number.
 LENGTH, END, GROUP, BIN_BITS = 1024, 0, 8192, 24
 
 #: Where both tokenizer libraries certainly agree on letters, digits and white space; other texts go the slow way.
@@ -82,40 +86,46 @@ def first_fit_decreasing(sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.n
 _PIECES = [("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("doc_tokens", T.LongType())]
 
 
-def pieces(docs: DataFrame, json_path: str, ranks_path: str, groups: int, text: str = "text", key: str = "doc_id", length: int = LENGTH, end: int = END) -> DataFrame:
-    """A row for each piece of at most `length` ids, with its group and its place in the input (order)."""
-    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), *(T.StructField(n, t) for n, t in _PIECES), T.StructField("group", T.LongType()), T.StructField("order", T.LongType())])
-    rest = [n for n, _ in _PIECES] + ["group", "order"]
+def pieces(docs: DataFrame, json_path: str, ranks_path: str, text: str = "text", key: str = "doc_id", length: int = LENGTH, end: int = END) -> DataFrame:
+    """A row for each piece of at most `length` ids, with its draw."""
+    schema = T.StructType([T.StructField("id", docs.schema[key].dataType), *(T.StructField(n, t) for n, t in _PIECES), T.StructField("draw", T.LongType())])
+    rest = [n for n, _ in _PIECES]
 
     def run(batches):
-        encode, part, count = tokenizer(json_path, ranks_path), TaskContext.get().partitionId(), 0
+        encode = tokenizer(json_path, ranks_path)
         for b in sliced(batches):
             rows, take = [], []
             for i, t in enumerate(b.column(1).to_pylist()):
                 ids = np.append(encode(t) if t else np.empty(0, np.uint32), np.uint32(end)).astype("<u4")
                 for s in range(0, len(ids), length):
-                    order = (part << 32) + count
-                    count += 1
-                    # a fixed, well mixed draw: the same if the task runs again
-                    draw = crc32(order.to_bytes(8, "little")) % groups
-                    rows.append((s, min(length, len(ids) - s), crc32(ids[s : s + length].tobytes()), len(ids), draw, order))
+                    rows.append((s, min(length, len(ids) - s), crc32(ids[s : s + length].tobytes()), len(ids)))
                     take.append(i)
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(rest)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), *(pa.array(c, pa.int64()) for c in cols)], names=[key, *rest])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), *(pa.array(c, pa.int64()) for c in cols)], names=["id", *rest])
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    cut = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, T.StructType(schema.fields[:-1]))
+    return cut.withColumn("draw", F.xxhash64(F.lit(17), "id", "start", "ids_crc32", "doc_tokens"))
 
 
 def pack(docs: DataFrame, json_path: str, ranks_path: str, text: str = "text", key: str = "doc_id", length: int = LENGTH, end: int = END, group: int = GROUP) -> DataFrame:
     """Pieces with sequence_id and offset. A sequence is as long as its pieces together, and is padded to
     `length` unless that is a power of two."""
-    groups = max(1, -(-docs.count() // group))
+    cut = written(pieces(docs, json_path, ranks_path, text, key, length, end), "pieces")
+    groups = max(1, -(-cut.count() // group))
+    dealt = cut.withColumn("group", F.pmod("draw", F.lit(groups)))
+    # few: at most a row for each `2 x group` pieces
+    large = written(dealt.groupBy("group").count().where(F.col("count") > 2 * group).select("group", F.ceil(F.col("count") / group).alias("parts")), "large")
+    dealt = dealt.withColumn("place", F.monotonically_increasing_id()).join(sized(large), "group", "left")
+    dealt = dealt.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("place"), "parts")).otherwise(0)).drop("place", "parts")
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), *(T.StructField(n, t) for n, t in _PIECES), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
-    def fill(table: pa.Table) -> pa.Table:
-        table = table.sort_by("order")
-        bins, offsets = first_fit_decreasing(table.column("length").to_numpy(), length)
-        ids = (table.column("group").to_numpy() << BIN_BITS) + bins
-        return table.select([key, *(n for n, _ in _PIECES)]).append_column("sequence_id", pa.array(ids, pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
+    def fill(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("draw", "ascending"), ("id", "ascending"), ("start", "ascending")])
+        bins, offsets = first_fit_decreasing(t.column("length").to_numpy(), length)
+        if len(bins) >> BIN_BITS:
+            raise OverflowError(f"a group has more than 2^{BIN_BITS} pieces")
+        # a group's parts take every other number of groups, so that no two share a sequence
+        numbered = (t.column("group").to_numpy() + groups * t.column("part").to_numpy() << BIN_BITS) + bins
+        return t.select(["id", *(n for n, _ in _PIECES)]).append_column("sequence_id", pa.array(numbered, pa.int64())).append_column("offset", pa.array(offsets, pa.int64())).rename_columns(schema.names)
 
-    return pieces(docs, json_path, ranks_path, groups, text, key, length, end).groupBy("group").applyInArrow(fill, schema)
+    return dealt.groupBy("group", "part").applyInArrow(fill, schema)

@@ -8,7 +8,9 @@ as its UTF-8 bytes. A space becomes the mark U+2581, and one stands before the t
 
 No piece goes over a mark after another character, nor over a line feed, so the stretches between are
 independent, and the results of common ones are kept in a cache of bounded size. Null texts count as empty:
-no tokens, score 0.
+no tokens, score 0. Texts are counted whole, one at a time, in time linear in their length (a stretch without a mark
+or line feed, however long, is worked on at once). Copies and repeated rows agree. An empty table gives an empty
+result. Columns beside the text are dropped or, when `keep_columns` asks for them, passed through.
 """
 
 from __future__ import annotations
