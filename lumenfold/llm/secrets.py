@@ -104,8 +104,11 @@ def lookout(trigrams: list[str]) -> str:
     tree: dict[str, dict[str, list[str]]] = {}
     for t in trigrams:
         tree.setdefault(t[0], {}).setdefault(t[1], []).append(t[2])
+    one_of = lambda letters: re.escape(letters[0]) if len(letters) == 1 else "[" + "".join(map(re.escape, letters)) + "]"
     each = lambda parts: parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
-    return "(?=(" + "|".join(re.escape(a) + each([re.escape(b) + each(list(map(re.escape, cs))) for b, cs in m.items()]) for a, m in tree.items()) + "))"
+    # three classes turn most characters down before the tree is tried
+    worth = "".join(one_of(sorted({t[i] for t in trigrams})) for i in range(3))
+    return f"(?={worth})(?=(" + "|".join(re.escape(a) + each([re.escape(b) + one_of(cs) for b, cs in m.items()]) for a, m in tree.items()) + "))"
 
 
 def postings(docs: DataFrame, trigrams: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
