@@ -1,21 +1,30 @@
 """Operator 10: personal data, by base patterns and a span classifier taught by weak supervision.
 
-Base spans (email, ip, card, phone) are found by their patterns and always stay. Further candidates (national
-ids, bank accounts, phone numbers without a plus, dates, names) are voted on by LABELLERS: patterns with check
-digits, gazetteers, and words of context for or against. Expectation-maximisation over the votes on all
-candidates of all documents estimates how reliable each labeller is; the posteriors of a bounded sample of
-candidates train a logistic classifier over the candidate's shape and context, which decides what is added.
-Base spans are candidates too, so that the classifier also learns from them.
+Base spans (email, ip, card, phone) are found by their patterns and always stay. Candidates are found by form alone,
+whether or not anything speaks for them: at signs with something on both sides, dotted quads, runs of digits (those
+that base patterns run together too: two numbers side by side), plus signs with digits, dates, account-like codes,
+pairs of capitalised words. Each is looked at by LABELLERS, which overlap and may say both: issuer and numbering
+plans, check digits and ranges, gazetteers of names and of other capitalised words, words of context for and against,
+how the span stands in its surroundings, how often it comes, how varied it is. No labeller knows what the base
+patterns say. Expectation-maximisation over the votes on all candidates of all documents estimates how reliable each
+labeller is, starting from the majority; the posteriors of a bounded sample of different candidates train a logistic
+classifier over facts of the span and its surroundings (form, shape, first digits, check digits, neighbouring words),
+and no vote is among these. What the classifier finds personal, and no base span overlaps, is added.
 
 One pass reads the texts; what it finds is written to the shared folder, and the rest works on that.
-Spans are in code points, the end excluded; an added span never overlaps a base one. Null texts count as
-empty: no spans. Repeated rows are treated row by row. Empty tables give empty results.
+Spans are in code points, the end excluded; added spans overlap neither base ones nor each other: of two that would,
+the more probable stays, of equally probable ones the first. Null texts count as empty: no spans. Texts are read
+whole, one at a time, in time linear in their length. Repeated rows are treated row by row and alike; null ids are ids
+like others. Empty tables give empty results. Columns beside the text are dropped or, when `keep_columns` asks for
+them, passed through.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
@@ -23,24 +32,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenfold.llm.common import map_rows, written
+from lumenfold.llm.common import map_rows, unused, written
 from lumenfold.llm.weak_labels import fit, posteriors
 
 BASE = ("email", "ip", "card", "phone")
 #: All kinds, in the order in which spans of equal start are listed.
-KINDS = (*BASE, "national_id", "account", "local_phone", "birth_date", "name")
+KINDS = (*BASE, "number", "account", "birth_date", "name")
 #: Hash buckets of the classifier; candidates it is fitted on; probability from which a candidate is added.
-BUCKETS, SAMPLE, THRESHOLD = 1024, 20_000, 0.5
-LABELLERS = ("strict pattern", "check digits", "gazetteer", "context for", "context against", "odd shape")
+BUCKETS, SAMPLE, THRESHOLD = 1024, 20_000, 0.7
+LABELLERS = ("plan", "check", "gazetteer", "context for", "context against", "standing", "repetition", "variety")
 
-# Frequent given names, titles, and words that speak for or against personal data.
+# Frequent given names and family names, titles, capitalised words that are no names of people, and words
+# that speak for or against personal data.
 GIVEN_NAMES = frozenset(
     "james mary robert patricia john jennifer michael linda david elizabeth william barbara richard susan joseph jessica thomas sarah charles karen"
-    " anna peter maria paul hans klaus ursula jürgen sabine pierre marie jean michel nathalie philippe juan carmen josé antonio manuel lucía".split()
+    " christopher lisa daniel nancy matthew betty anthony margaret mark sandra donald ashley steven kimberly andrew emily paul donna joshua michelle"
+    " kenneth carol kevin amanda brian dorothy george melissa timothy deborah ronald stephanie edward rebecca jason sharon jeffrey laura ryan cynthia"
+    " anna peter maria hans klaus ursula jürgen sabine wolfgang monika stefan petra andreas birgit uwe renate lukas lena jonas hannah felix mia"
+    " pierre marie jean michel nathalie philippe isabelle alain sylvie jacques camille luc chloé louis inès hugo manon"
+    " juan carmen josé antonio manuel lucía francisco dolores javier pilar carlos ana miguel isabel pablo sofía diego elena alejandro marta".split()
+)
+FAMILY_NAMES = frozenset(
+    "smith johnson williams brown jones garcia miller davis rodriguez martinez hernandez lopez gonzalez wilson anderson taylor moore jackson martin lee"
+    " perez thompson white harris sanchez clark ramirez lewis robinson walker young allen king wright scott torres nguyen hill flores green adams nelson"
+    " müller schmidt schneider fischer weber meyer wagner becker schulz hoffmann koch bauer richter klein wolf schröder neumann schwarz zimmermann braun"
+    " bernard dubois durand moreau laurent lefebvre michel leroy roux fournier girard bonnet dupont lambert fontaine rousseau vincent"
+    " garcía gonzález rodríguez fernández lópez martínez sánchez pérez gómez jiménez ruiz hernández díaz moreno muñoz álvarez romero navarro".split()
 )
 TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Señora")
-FOR = frozenset("ssn social passport born birth birthday dob iban account konto phone tel telephone mobile fax call contact name mr mrs ms dr geboren telefon né née teléfono nacido nacida".split())
-AGAINST = frozenset("version page pages isbn issn chapter line lines section figure table price total order usd eur copyright updated published released".split())
+NO_NAMES = frozenset(
+    "license licence version public general apache gnu mit bsd creative commons copyright rights reserved all terms conditions policy privacy software"
+    " university institute company inc ltd gmbh corporation street avenue road city county state north south east west new united states kingdom"
+    " january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday"
+    " the this that these those and but for with from und der die das ein eine ist les des une est los las una que".split()
+)
+FOR = frozenset("ssn social passport born birth birthday dob iban account konto phone tel telephone mobile fax call contact name email mail mr mrs ms dr geboren telefon né née teléfono nacido nacida correo".split())
+AGAINST = frozenset("version page pages isbn issn chapter line lines section figure table price total order usd eur copyright updated published released token key secret password hash commit license".split())
+#: Top-level domains, country calling codes, and first digits of cards.
+DOMAINS = frozenset("com org net edu gov io info biz de fr es it uk us eu nl ch at be".split())
+CALLING = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "54", "55", "56", "57", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "351", "352", "353", "358", "420", "421")
+CARDS = ("4", "51", "52", "53", "54", "55", "22", "23", "24", "25", "26", "27", "34", "37", "30", "36", "38", "35", "6011", "62", "64", "65")
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -49,13 +80,17 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
-_MORE = {
-    "national_id": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    "account": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    "local_phone": re.compile(r"(?<![0-9+(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])"),
-    "birth_date": re.compile(r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})(?![0-9./-])"),
-}
-_NAME = re.compile(rf"(?:\b(?:{'|'.join(TITLES)})\.? )?\b[^\W\d_a-z]\w{{2,20}} [^\W\d_a-z]\w{{2,20}}")
+# forms of candidates, wider than what any labeller takes for personal
+_MAIL = re.compile(r"[\w.%+-]+@[\w.-]+")
+_QUAD = re.compile(r"(?<![0-9.])[0-9]{1,4}(?:\.[0-9]{1,4}){3}(?![0-9]|\.[0-9])")
+_RUN = re.compile(r"(?<![0-9])[0-9]{7,}(?![0-9])")
+_GROUPS = re.compile(r"(?<![0-9])[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|(?<![0-9+(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")
+_NANP = re.compile(r"\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])")
+_PLUS = re.compile(r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])")
+_CODE = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_DATE = re.compile(r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})(?![0-9./-])")
+_NAME = re.compile(rf"(?:\b(?:{'|'.join(TITLES)})\.? )?\b[A-ZÀ-ÖØ-Þ]\w{{2,20}} [A-ZÀ-ÖØ-Þ]\w{{2,20}}\b")
+_FORMS = (("email", _MAIL), ("ip", _QUAD), ("number", _RUN), ("number", _GROUPS), ("phone", _NANP), ("phone", _PLUS), ("account", _CODE), ("birth_date", _DATE))
 _WORD = re.compile(r"\w+")
 
 
@@ -102,25 +137,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _more_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    found = []
-    if _DIGIT.search(text):
-        found += [(m.start(), KINDS.index(k), m.end()) for k, p in _MORE.items() for m in p.finditer(text)]
-    for m in _NAME.finditer(text):
-        words = m[0].split()
-        if len(words) > 2 or words[0].rstrip(".") in TITLES or words[0].lower() in GIVEN_NAMES:
-            found.append((m.start(), KINDS.index("name"), m.end()))
-    found.sort()
-    out, taken = [], sorted((s, e) for s, _, e in base)
-    i = end = 0
-    for s, k, e in found:
-        while i < len(taken) and taken[i][1] <= s:
-            i += 1
-        if s < end or any(a < e and s < b for a, b in taken[i : i + 2]):
-            continue
-        out.append((s, k, e))
-        end = e
-    return out
+def form_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of all candidates: whatever has such a form. A run of digits as long as a card's is one."""
+    found = set()
+    if "@" in text or _DIGIT.search(text):
+        for name, p in _FORMS:
+            for m in p.finditer(text):
+                kind = name
+                if name == "number" and 14 <= sum(map(str.isdigit, m[0])) <= 19:
+                    kind = "card"
+                found.add((m.start(), KINDS.index(kind), m.end()))
+    found.update((m.start(), KINDS.index("name"), m.end()) for m in _NAME.finditer(text))
+    return sorted(found)
 
 
 def _iban(s: str) -> bool:
@@ -128,85 +156,185 @@ def _iban(s: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
-def votes(text: str, s: int, kind: int, e: int) -> str:
-    """What each of LABELLERS says of a candidate: 1 personal, 2 not, 0 nothing."""
+def _calendar(s: str) -> bool:
+    y, m, d = map(int, s.split("-")) if "-" in s else map(int, reversed(re.split("[./]", s)))
+    return 1900 <= y <= 2025 and 1 <= m <= 12 and 1 <= d <= 31
+
+
+def checked(span: str, kind: int) -> bool | None:
+    """Whether check digits and ranges hold; None where there are none."""
+    name, digits = KINDS[kind], re.sub("[^0-9]", "", span)
+    if name == "card":
+        return luhn(digits)
+    if name == "account":
+        return _iban(span)
+    if name == "ip":
+        return all(int(p) <= 255 for p in span.split("."))
+    if name == "phone":
+        return 10 <= len(digits) <= 15
+    if name == "email":
+        return re.fullmatch(r"[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,}", span.rpartition("@")[2].rstrip(".")) is not None
+    if name == "birth_date":
+        return _calendar(span)
+    return None
+
+
+def _plan(span: str, kind: int) -> bool | None:
+    """Whether a number, domain or address is one that is given out; None where no plan is known."""
+    name, digits = KINDS[kind], re.sub("[^0-9]", "", span)
+    if name == "card":
+        return digits.startswith(CARDS)
+    if name == "phone":
+        return digits.startswith(CALLING) and not (digits[0] == "1" and (len(digits) != 11 or digits[1] in "01"))
+    if name == "ip":
+        first = int(span.split(".")[0])
+        return 0 < first < 224 and first not in (10, 127) or 224 <= first <= 255 and None
+    if name == "email":
+        return span.rpartition(".")[2].lower() in DOMAINS
+    if name == "number":
+        return bool(re.fullmatch(r"(?!000|666|9)[0-9]{3}-[0-9]{2}-[0-9]{4}|\(?[2-9][0-9]{2}\)?[ .-][2-9][0-9]{2}[ .-][0-9]{4}", span))
+    return None
+
+
+def _said(yes: bool | None) -> str:
+    return "0" if yes is None else "1" if yes else "2"
+
+
+def votes(text: str, s: int, kind: int, e: int, times: int) -> str:
+    """What each of LABELLERS says of a candidate that comes so many times in its text: 1 personal, 2 not, 0 nothing."""
     span, name = text[s:e], KINDS[kind]
     around = {w.lower() for w in _WORD.findall(text[max(0, s - 40) : s]) + _WORD.findall(text[e : e + 20])}
-    words = span.split()
-    strict = kind < len(BASE) or name == "national_id" and span[:3] not in ("000", "666") and span[0] != "9" or name == "name" and words[0].rstrip(".") in TITLES
-    if name == "account":
-        checked = 1 if _iban(span) else 2
-    elif name == "card":
-        checked = 1 if luhn(re.sub("[^0-9]", "", span)) else 2
+    words = [w.rstrip(".").lower() for w in span.split()]
+    listed = None
+    if name == "name":
+        other = any(w in NO_NAMES for w in words)
+        listed = False if other else True if words[-2] in GIVEN_NAMES or words[-1] in FAMILY_NAMES or len(words) > 2 else None
+    left, right = text[s - 1 : s], text[e : e + 1]
+    standing = not (left.isalnum() or right.isalnum() or left in tuple("$€£#/_=\"'") or right in tuple("/_=@\"'"))
+    if name == "name":
+        varied = len(set(words)) > 1 and None
     else:
-        checked = 0
-    listed = 1 if name == "name" and words[-2].lower() in GIVEN_NAMES else 2 if name == "name" else 0
-    before = text[s - 1 : s]
-    odd = bool(before and before in "$€£#/_=") or name == "birth_date" and not around & FOR
-    return f"{int(strict)}{checked}{listed}{1 if around & FOR else 0}{2 if around & AGAINST else 0}{2 if odd else 0}"
+        varied = len(set(re.sub(r"\W", "", span))) >= 4
+    return "".join(
+        (
+            _said(_plan(span, kind)),
+            _said(checked(span, kind)),
+            _said(listed),
+            _said(True if around & FOR else None),
+            _said(False if around & AGAINST else None),
+            _said(standing if name != "name" or not standing else None),
+            _said(False if times > 2 else None),
+            _said(None if varied is None else bool(varied)),
+        )
+    )
 
 
 def described(text: str, s: int, kind: int, e: int) -> list[int]:
-    """The candidate's features: hashes of its kind, shape and context."""
+    """The candidate's features: hashes of facts of the span and of its surroundings."""
     span = text[s:e]
     shape = re.sub(r"(.)\1+", r"\1+", re.sub("[^\\W\\d_]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "9", span))))
     before = [w.lower() for w in _WORD.findall(text[max(0, s - 40) : s])][-3:]
     after = [w.lower() for w in _WORD.findall(text[e : e + 20])][:1]
-    facts = [f"kind {kind}", f"shape {kind} {shape}", f"long {min((e - s) // 4, 12)}", *(f"before {w}" for w in before), *(f"after {w}" for w in after), f"sign {text[s - 1 : s]}", f"votes {votes(text, s, kind, e)}"]
+    facts = [f"kind {kind}", f"shape {kind} {shape}", f"long {kind} {min((e - s) // 2, 16)}", *(f"before {w}" for w in before), *(f"after {w}" for w in after), f"sign {text[s - 1 : s]}", f"end {text[e : e + 1]}"]
+    if kind == KINDS.index("name"):
+        facts += [f"word {w.lower()}" for w in span.split()]
+    else:
+        facts += [f"starts {kind} {re.sub('[^0-9A-Za-z]', '', span)[:n]}" for n in (1, 2)] + [f"ends {kind} {span.rpartition('.')[2][-4:].lower()}", f"checked {kind} {checked(span, kind)}"]
     return sorted({crc32(f.encode()) % BUCKETS for f in facts})
 
 
-_FOUND = T.ArrayType(T.StructType([*(T.StructField(n, T.IntegerType()) for n in ("start", "kind", "end")), T.StructField("votes", T.StringType()), T.StructField("features", T.ArrayType(T.IntegerType()))]))
+_SPAN = [T.StructField(n, T.IntegerType()) for n in ("start", "kind", "end")]
+_BASE = T.ArrayType(T.StructType(_SPAN))
+_FOUND = T.ArrayType(T.StructType([*_SPAN, T.StructField("votes", T.StringType()), T.StructField("features", T.ArrayType(T.IntegerType()))]))
 
 
-def candidates(docs: DataFrame, text: str, keep_columns: tuple[str, ...]) -> DataFrame:
-    """Of each row, all candidate spans with their votes and features."""
+def candidates(docs: DataFrame, text: str, keep_columns: tuple[str, ...], into: tuple[str, str] = ("base", "found")) -> DataFrame:
+    """Of each row, the base spans, and all candidates with their votes and features."""
 
     def row():
         def one(t):
             t = t or ""
-            base = base_spans(t)
-            return ([{"start": s, "kind": k, "end": e, "votes": votes(t, s, k, e), "features": described(t, s, k, e)} for s, k, e in sorted(base + _more_spans(t, base))],)
+            spans = form_spans(t)
+            times = Counter(t[s:e] for s, _, e in spans)
+            return [{"start": s, "kind": k, "end": e} for s, k, e in base_spans(t)], [{"start": s, "kind": k, "end": e, "votes": votes(t, s, k, e, times[t[s:e]]), "features": described(t, s, k, e)} for s, k, e in spans]
 
         return one
 
-    schema = T.StructType([*(docs.schema[c] for c in keep_columns), T.StructField("_found", _FOUND)])
+    schema = T.StructType([*(docs.schema[c] for c in keep_columns), T.StructField(into[0], _BASE), T.StructField(into[1], _FOUND)])
     return map_rows(docs.select(*dict.fromkeys([*keep_columns, text])), schema, list(keep_columns), row, [text])
 
 
-def train(found: DataFrame, sample: int = SAMPLE) -> dict:
-    """The classifier: votes of all candidates are counted; weights come from at most `sample` of them, weighted by the counts of their kind of vote."""
-    spans = found.select(F.explode("_found").alias("x")).select("x.votes", "x.features")
-    personal, rate, share = posteriors({r[0]: r[1] for r in spans.groupBy("votes").count().collect()}, len(LABELLERS), start=(0.9, 0.1))
+def train(found: DataFrame, sample: int = SAMPLE, column: str = "found") -> dict:
+    """The classifier: the votes of all candidates of each kind are counted, at most 3^8 rows each, and labellers are as
+    reliable as they are for that kind; weights come from at most `sample` different candidates."""
+    spans = found.select(F.explode(column).alias("x")).select("x.kind", "x.votes", "x.features")
+    counted: dict[int, dict[str, int]] = {}
+    for kind, pattern, n in spans.groupBy("kind", "votes").count().collect():
+        counted.setdefault(kind, {})[pattern] = n
+    fitted = {kind: posteriors(patterns, len(LABELLERS), start=(0.9, 0.1), most=True) for kind, patterns in sorted(counted.items())}
     # different candidates only, the first by a hash: as many rows at any size
-    few = spans.distinct().orderBy(F.xxhash64("votes", "features"), "votes", "features").limit(sample).collect()
-    if not few:
-        return {"w": np.zeros(BUCKETS + 1, np.float32), "rate": rate, "share": share}
-    x = np.zeros((len(few), BUCKETS + 1), np.float32)
-    x[:, -1] = 1
-    for i, r in enumerate(few):
-        x[i, r[1]] = 1
-    return {"w": fit(x, np.array([personal[r[0]] for r in few])), "rate": rate, "share": share}
+    few = spans.distinct().orderBy(F.xxhash64("kind", "votes", "features"), "kind", "votes", "features").limit(sample).collect()
+    model = {"w": np.zeros(BUCKETS + 1, np.float32), "posteriors": {k: x[0] for k, x in fitted.items()}, "rates": {k: x[1] for k, x in fitted.items()}, "shares": {k: x[2] for k, x in fitted.items()}}
+    if few:
+        x = np.zeros((len(few), BUCKETS + 1), np.float32)
+        x[:, -1] = 1
+        for i, r in enumerate(few):
+            x[i, r[2]] = 1
+        model["w"] = fit(x, np.array([fitted[r[0]][0][r[1]] for r in few]))
+    return model
+
+
+def probability(w: np.ndarray, features: list[int]) -> float:
+    return 1 / (1 + float(np.exp(-np.clip(w[features].sum() + w[-1], -50, 50))))
+
+
+def added(base: list[dict], found: list[dict], w: np.ndarray) -> list[dict]:
+    """Candidates that the classifier finds personal and that overlap neither base spans nor more probable ones."""
+    sure = [(probability(w, x["features"]), x) for x in found]
+    starts, ends = [x["start"] for x in sorted(base, key=lambda x: x["start"])], sorted(x["end"] for x in base)
+    out: list[dict] = []
+    held: list[tuple[float, dict]] = []
+
+    def settle() -> None:
+        """Of candidates that hang together by overlaps, the most probable, and those that it leaves room for."""
+        taken: list[tuple[int, int]] = []
+        for _, x in sorted(held, key=lambda h: (-h[0], h[1]["start"], h[1]["kind"], h[1]["end"])):
+            if all(x["end"] <= s or e <= x["start"] for s, e in taken):
+                taken.append((x["start"], x["end"]))
+                out.append(x)
+
+    for p, x in sorted(sure, key=lambda h: (h[1]["start"], h[1]["end"])):
+        # a base span overlaps if it starts before this one's end and hasn't ended before its start
+        if p < THRESHOLD or bisect_left(starts, x["end"]) > bisect_right(ends, x["start"]):
+            continue
+        if held and x["start"] >= max(h[1]["end"] for h in held):
+            settle()
+            held = []
+        held.append((p, x))
+    settle()
+    return out
 
 
-def decided(found: DataFrame, model: dict, keep_columns: tuple[str, ...]) -> DataFrame:
+def decided(found: DataFrame, model: dict, keep_columns: tuple[str, ...], columns: tuple[str, str] = ("base", "found")) -> DataFrame:
     """Counts and a digest of base spans, and all spans that stay."""
     w = model["w"]
     names = [f"n_{k}" for k in BASE]
 
     def row():
-        def one(spans):
-            kept = [x for x in spans if x["kind"] < len(BASE) or 1 / (1 + np.exp(-np.clip(w[x["features"]].sum() + w[-1], -50, 50))) >= THRESHOLD]
-            text = [f"{KINDS[x['kind']]}:{x['start']}:{x['end']}" for x in kept]
-            base = ",".join(t for t, x in zip(text, kept, strict=True) if x["kind"] < len(BASE))
-            return *(sum(x["kind"] == k for x in kept) for k in range(len(BASE))), hashlib.sha256(base.encode()).hexdigest(), ",".join(text)
+        def listed(spans):
+            return ",".join(f"{KINDS[x['kind']]}:{x['start']}:{x['end']}" for x in spans)
+
+        def one(base, found):
+            kept = sorted([*base, *added(base, found, w)], key=lambda x: (x["start"], x["kind"], x["end"]))
+            return *(sum(x["kind"] == k for x in base) for k in range(len(BASE))), hashlib.sha256(listed(base).encode()).hexdigest(), listed(kept)
 
         return one
 
     schema = T.StructType([*(found.schema[c] for c in keep_columns), *(T.StructField(n, T.LongType()) for n in names), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
-    return map_rows(found, schema, list(keep_columns), row, ["_found"])
+    return map_rows(found, schema, list(keep_columns), row, list(columns))
 
 
 def scan(docs: DataFrame, text: str = "text", keep_columns: tuple[str, ...] = ("doc_id",), sample: int = SAMPLE) -> DataFrame:
-    found = written(candidates(docs, text, keep_columns), "pii")
-    return decided(found, train(found, sample), keep_columns)
+    columns = tuple(unused(docs, "base", "found"))
+    found = written(candidates(docs, text, keep_columns, columns), "pii")
+    return decided(found, train(found, sample, columns[1]), keep_columns, columns)
