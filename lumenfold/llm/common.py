@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,17 +47,32 @@ def _sweep() -> None:
 atexit.register(_sweep)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as Parquet to the shared folder and read again, so that lost executors cost no recomputation."""
+#: Narrow rows of a file, where their number is known beforehand: small tables needn't be a file a partition.
+FILE_ROWS = 500_000
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df, written once as Parquet to the shared folder and read again, so that lost executors cost no recomputation.
+
+    rows: about how many narrow rows it has at most, if that is known; so many files are made as these need. Each file
+    and each folder costs its writer a system command where the file system is a local one.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    out = df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))
+    out.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     _MADE.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """df, and what tells how many rows it has (`.get["n"]`) once it was written: without another job."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("n")), seen
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete the files of a table that written() gave and that nothing will read again."""
     spark, path = df.sparkSession, df._written_at

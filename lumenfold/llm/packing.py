@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenfold.llm.common import sized, sliced, written
+from lumenfold.llm.common import counted, sized, sliced, written
 
 #: Tokens of a sequence; the id that ends a document; pieces in a group, about; bits of a bin's number.
 LENGTH, END, GROUP, BIN_BITS = 1024, 0, 8192, 24
@@ -110,11 +110,12 @@ def pieces(docs: DataFrame, json_path: str, ranks_path: str, text: str = "text",
 def pack(docs: DataFrame, json_path: str, ranks_path: str, text: str = "text", key: str = "doc_id", length: int = LENGTH, end: int = END, group: int = GROUP) -> DataFrame:
     """Pieces with sequence_id and offset. A sequence is as long as its pieces together, and is padded to
     `length` unless that is a power of two."""
-    cut = written(pieces(docs, json_path, ranks_path, text, key, length, end), "pieces")
-    groups = max(1, -(-cut.count() // group))
+    cut, seen = counted(pieces(docs, json_path, ranks_path, text, key, length, end))
+    cut = written(cut, "pieces")
+    groups = max(1, -(-seen.get["n"] // group))
     dealt = cut.withColumn("group", F.pmod("draw", F.lit(groups)))
     # few: at most a row for each `2 x group` pieces
-    large = written(dealt.groupBy("group").count().where(F.col("count") > 2 * group).select("group", F.ceil(F.col("count") / group).alias("parts")), "large")
+    large = written(dealt.groupBy("group").count().where(F.col("count") > 2 * group).select("group", F.ceil(F.col("count") / group).alias("parts")), "large", groups)
     dealt = dealt.withColumn("place", F.monotonically_increasing_id()).join(sized(large), "group", "left")
     dealt = dealt.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("place"), "parts")).otherwise(0)).drop("place", "parts")
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), *(T.StructField(n, t) for n, t in _PIECES), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
