@@ -25,8 +25,8 @@ from lumenfold.llm.common import bounded_sample, code_points, drop_written, gram
 
 #: log2 of the hash buckets; n-gram lengths; labelled rows to learn from; n-grams kept; score from which a text is toxic.
 BITS, LENGTHS, SAMPLE, KEPT, THRESHOLD = 20, (3, 4, 5, 6), 12_000, 4096, 0.7
-#: Counts are gathered in so many blocks of buckets; a block's places fit 16 bits.
-BLOCKS = 32
+#: Counts are gathered in so many blocks of buckets, by so many tasks; a block's places fit 16 bits.
+BLOCKS, TASKS = 32, 8
 
 
 def buckets(text: str, bits: int = BITS) -> np.ndarray:
@@ -52,7 +52,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     few = bounded_sample(labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(label).alias("label")).where("id is not null"), "id", sample)
     rows = docs.join(F.broadcast(few), docs[key] == few["id"]).select((few["label"] > 0).cast("int").alias("label"), F.coalesce(docs[text], F.lit("")).alias("t"))
     # at most `sample` texts, written once: the corpus is read once to learn and once to score; copies teach nothing new
-    rows = written(rows.distinct(), "labelled")
+    rows = written(rows.distinct().coalesce(TASKS), "labelled")
     size = (1 << BITS) // BLOCKS
 
     def count(batches):
