@@ -12,15 +12,17 @@ fingerprints' hashes; two empty ones are alike (1).
 compare_neighbours() sets each document against an edited version of itself and against the next document.
 Documents are dealt by ranges of ids and streamed in order, so no task holds more than two of them; each
 range also gets the first document of the next. Null ids come first, repeated ids are ordered by text, null
-texts count as empty, and a table of one document is its own next one.
+texts count as empty, and a table of one document is its own next one. Rows of one id (or of none) are one run of the
+order, so they share a range however many they are. Texts are fingerprinted whole, two at a time. An empty table gives
+an empty result. Columns beside id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -103,19 +105,20 @@ def _dealt(docs: DataFrame, rows_each: int, most: int) -> DataFrame:
     cuts = ids.agg(F.percentile_approx("i", [j / ranges for j in range(1, ranges)], 100_000)).first()[0] if ranges > 1 else []
     cuts = sorted(set(cuts or []))
 
-    @F.udf("int", useArrow=True)
-    def range_of(i):
-        return bisect_right(cuts, i)
+    @F.pandas_udf("int")
+    def range_of(i: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, i, side="right").astype(np.int32))
 
     firsts = sorted((r[0], r[1]) for r in ids.groupBy(range_of("i").alias("r")).agg(F.min("i")).collect())
     hosts = {first: firsts[j - 1][0] for j, (_, first) in enumerate(firsts)}  # the first's host is the last range
 
-    @F.udf("array<struct<_range:int,_guest:boolean>>", useArrow=True)
-    def places(i):
-        own = (bisect_right(cuts, i), False)
-        return [own, (hosts[i], True)] if i in hosts else [own]
+    @F.pandas_udf("int")
+    def host_of(i: pd.Series) -> pd.Series:
+        return i.map(hosts).astype("Int32")
 
-    placed = docs.withColumn("_i", F.coalesce(F.col("_id").cast("long"), F.lit(low))).withColumn("_place", F.explode(places("_i")))
+    placed = docs.withColumn("_i", F.coalesce(F.col("_id").cast("long"), F.lit(low)))
+    own, host = F.struct(range_of("_i").alias("_range"), F.lit(False).alias("_guest")), F.struct(host_of("_i").alias("_range"), F.lit(True).alias("_guest"))
+    placed = placed.withColumn("_place", F.explode(F.array(own, host))).where("_place._range is not null")
     return placed.select("_id", "_i", "_text", "_place._range", "_place._guest")
 
 
