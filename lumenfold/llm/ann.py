@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from lumenfold.llm.common import bounded_sample, tidy, written
 
 #: Vectors that centroids are fitted on, at least and at most; share of the sample's neighbours that probing must find.
-SAMPLE, MOST, RECALL = 8192, 65_536, 0.95
+SAMPLE, MOST, RECALL = 8192, 65_536, 0.98
 #: Columns of a block; how many deviations a partial distance may be above the threshold; rows of a chunk.
 COLUMNS, EPSILON, CANDIDATES, QUERIES = 16, 2.1, 8192, 8192
 #: Queries and candidates that are scanned at a time; share of candidates alive from which a block is computed for all.
