@@ -48,7 +48,7 @@ atexit.register(_sweep)
 
 
 #: Narrow rows of a file, where their number is known beforehand: small tables needn't be a file a partition.
-FILE_ROWS = 500_000
+FILE_ROWS = 100_000
 
 
 def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
