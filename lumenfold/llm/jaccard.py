@@ -5,9 +5,9 @@
    a path from the trie's root.
 3. The tries are sorted once, by trie and signature, over ranges that split any run of equal signatures. Neighbours
    in that order tell how deep each text meets another one; texts that meet none down to the floor go.
-4. The matched prefix is shortened from DEPTH, level by level, until the recall that is measured on a bounded sample
-   of pairs (those that meet in one trie, looked for in all others) is RECALL, by its lower 95 % bound. It isn't
-   shortened below the floor: the level at which any pair at the threshold meets in some trie with that chance.
+4. The matched prefix is shortened from DEPTH, level by level, until the neighbours of all tries together show that
+   no shorter one, down to the floor, would bring any texts together that don't meet yet. The floor is the level at
+   which any pair at the threshold meets in some trie with the chance RECALL. Nothing is sampled.
 5. Texts that share a prefix of this length in a trie are a bucket. Within it, sketches weed out texts that only
    share a passage. Connected components over all tries are the candidate groups.
 6. Each candidate group's shingle sets are brought together once, and every pair is verified exactly. The
@@ -41,8 +41,8 @@ from lumenfold.llm.components import components
 WORDS, SIMILARITY = 5, (4, 5)
 #: Tries, values of each (bytes of a long), and the share of pairs that must meet.
 TREES, DEPTH, RECALL = 32, 8, 0.9999
-#: Rows of tries that recall is measured on, and of one bucket among them.
-SAMPLE, SAMPLE_BUCKET = 8192, 64
+#: Rows of one bucket that measured_level() looks at.
+SAMPLE_BUCKET = 64
 #: Texts, or shingles, of a block in verification; texts of a block where sketches are compared.
 BLOCK, BLOCK_SHINGLES, SKETCHED = 2048, 2_000_000, 65_536
 
@@ -148,14 +148,17 @@ def levels(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sorted_tries(texts: DataFrame, floor: int) -> DataFrame:
-    """(tree, path, _key, met) of the texts that meet another one at least `floor` levels deep in a trie; met: how deep.
+    """(tree, path, _key, met, before, edge) of the texts that meet another one at least `floor` levels deep in a trie;
+    met: how deep; before: how deep they meet the one before in the order.
 
     The order is by ranges of (tree, path, _key), so equal paths may go over several tasks. What lies beyond a task's
-    first and last row isn't known there: these rows stay, as if met at full depth.
+    first and last row (edge) isn't known there: these rows stay, as if met at full depth; the first has no `before`.
     """
 
+    schema = pa.schema([("tree", pa.int32()), ("path", pa.int64()), ("_key", pa.int64()), ("met", pa.int32()), ("before", pa.int32()), ("edge", pa.bool_())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row: tree, path, key, and how deep it met the one before
+        held, first = None, True  # held: the last row, with how deep it met the one before
         for b in batches:
             if not b.num_rows:
                 continue
@@ -168,14 +171,18 @@ def sorted_tries(texts: DataFrame, floor: int) -> DataFrame:
                 before[0] = held[3]
             met = np.maximum(before[:-1], before[1:])
             held = (tree[-1], path[-1], key[-1], before[-1])
-            on = met >= floor
-            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][on], t) for x, t in ((tree, pa.int32()), (path, pa.int64()), (key, pa.int64()))] + [pa.array(met[on], pa.int32())], names=["tree", "path", "_key", "met"])
+            on = np.flatnonzero(met >= floor)
+            edge = (on == 0) & first
+            first = first and not len(met)
+            columns = [x[on] for x in (tree, path, key, met)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(columns, schema.types, strict=False)), pa.array(before[on], pa.int32(), mask=edge), pa.array(edge)], schema=schema)
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int32()), pa.array([held[1]], pa.int64()), pa.array([held[2]], pa.int64()), pa.array([DEPTH], pa.int32())], names=["tree", "path", "_key", "met"])
+            last = (*held[:3], DEPTH, None if first else held[3], True)
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(last, schema.types, strict=True)], schema=schema)
 
     order = ["tree", "path", "_key"]
     entries = texts.select("_key", F.posexplode("paths").alias("tree", "path")).select(*order)
-    return entries.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "tree int, path long, _key long, met int")
+    return entries.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "tree int, path long, _key long, met int, before int, edge boolean")
 
 
 def _prefix(level: int) -> F.Column:
@@ -184,7 +191,8 @@ def _prefix(level: int) -> F.Column:
 
 
 def measured_level(rows: list[tuple[int, int, int]], paths_of: dict[int, np.ndarray], similarity: float, floor: int, recall: float) -> tuple[int, dict[int, float]]:
-    """The longest prefix at which the sample shows this recall, and the lower bounds that were measured on the way.
+    """The longest prefix at which a sample shows this recall, and the lower bounds that were measured on the way: to
+    look at tries by hand. No query takes its prefix from it; see matched_level().
 
     rows: (tree, prefix, key) of the sample. Its pairs are those of a bucket that are similar by their sketches; a
     pair counts as found at a level if it meets that deep in a trie other than the one that brought it here.
@@ -215,16 +223,15 @@ def measured_level(rows: list[tuple[int, int, int]], paths_of: dict[int, np.ndar
     return floor, seen
 
 
-def matched_level(tries: DataFrame, texts: DataFrame, similarity: float, floor: int, recall: float) -> int:
-    """Shorten the matched prefix until recall is reached, on at most SAMPLE rows: whole buckets, by a hash."""
-    near = tries.select("tree", _prefix(floor).alias("prefix"), "_key")
-    rows = near.orderBy(F.xxhash64(F.lit(5), "tree", "prefix"), F.xxhash64(F.lit(5), "_key"), "_key").limit(SAMPLE).toArrow()
-    keys = np.unique(rows.column("_key").to_numpy())
-    if not len(keys):
-        return floor
-    few = F.broadcast(texts.sparkSession.createDataFrame(pa.table({"_key": keys})))
-    got = texts.select("_key", "paths").join(few, "_key").toArrow()
-    return measured_level(list(zip(*(rows.column(c).to_pylist() for c in ("tree", "prefix", "_key")), strict=True)), dict(zip(got.column("_key").to_pylist(), map(np.array, got.column("paths").to_pylist()), strict=True)), similarity, floor, recall)[0]
+def matched_level(tries: DataFrame, floor: int) -> int:
+    """Shorten the matched prefix until its buckets, over all tries, are those of the floor: no neighbours in the order
+    share more than what the floor asks for, but less than this prefix. So no text is lost that the floor would find."""
+    inside = [r["before"] for r in tries.where(F.col("before") >= floor).select("before").distinct().collect()]
+    # between tasks: the last row of one and the first of the next; a task's own two share no more than what is inside
+    edges = tries.where("edge").select("tree", "path", "_key").orderBy("tree", "path", "_key").toArrow()
+    tree, path = edges.column("tree").to_numpy(), edges.column("path").to_numpy()
+    across = np.where(tree[1:] == tree[:-1], levels(path[1:], path[:-1]), 0).tolist()
+    return min((k for k in (*inside, *across) if k >= floor), default=DEPTH)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -407,7 +414,7 @@ def _classed(docs: DataFrame, similarity: tuple[int, int], recall: float) -> Dat
     tries, seen = counted(sorted_tries(texts, floor))
     tries = written(tries, "tries", n * TREES)
     met = seen.get["n"]
-    near = components(_candidates(tries, texts, matched_level(tries, texts, ratio, floor, recall), ratio), met)
+    near = components(_candidates(tries, texts, matched_level(tries, floor), ratio), met)
 
     group = near.join(copies, near["node"] == copies["_key"]).select("component", "_key", "copy", "size", "n")
     sizes = group.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))

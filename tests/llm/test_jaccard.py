@@ -190,3 +190,39 @@ def test_components_of_paths_stars_and_loops(spark):
     got = {r[0]: r[1] for r in C.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, 200: 200, 201: 200}
     assert C.components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+@pytest.mark.parametrize("parts", ["1", "3", "40"])
+def test_matched_prefix_is_that_of_all_tries(spark, parts):
+    rng = np.random.default_rng(25)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for deep, want in ((None, J.DEPTH), (7, 7), (6, 6), (5, J.DEPTH)):
+            for _ in range(3):  # one pair that meets `deep` levels, somewhere among pairs that are alike
+                paths = np.repeat(rng.integers(-(1 << 63), 1 << 63, 30), 2)
+                if deep:
+                    paths[1] ^= np.int64(1 << 8 * (J.DEPTH - 1 - deep))
+                df = spark.createDataFrame([(i, [int(p), int(p)]) for i, p in enumerate(paths)], "_key long, paths array<long>")
+                assert J.matched_level(J.sorted_tries(df, 6), 6) == want, (deep, parts)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert J.matched_level(J.sorted_tries(df.limit(0), 6), 6) == J.DEPTH
+
+
+def test_a_link_that_only_short_prefixes_bring_is_found_among_many_copies(spark):
+    """200 groups of 16 alike texts, which meet deep and of which any sample consists, and one pair that meets at the floor alone."""
+    rng, hashing = np.random.default_rng(26), J.MinHash(J.TREES * J.DEPTH)
+    while True:  # a pair at the threshold that no trie brings together by seven or eight levels
+        a, b = pair_sets(rng, 0.8, 1)
+        deep = J.levels(J.paths(hashing, a), J.paths(hashing, b))
+        if deep.max() == 6:
+            break
+    rows = [(16 * i + k, [int(x) for x in J.paths(hashing, s)]) for i in range(200) for s in [rng.integers(0, 1 << 63, 20, np.uint64)] for k in range(16)]
+    rows += [(10_000 + k, [int(x) for x in J.paths(hashing, s)]) for k, s in enumerate((a, b))]
+    texts = spark.createDataFrame(rows, "_key long, paths array<long>")
+    tries = J.sorted_tries(texts, 6).cache()
+    edges = {tuple(sorted(r)) for r in J._candidates(tries, texts, J.matched_level(tries, 6), 0.8).collect()}
+    assert (10_000, 10_001) in edges and len(edges) == 200 * 15 + 1
