@@ -1,9 +1,9 @@
 """Operator 4: a linear toxicity classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Learnt from labelled texts only. At most `sample` labelled rows (the first by a hash of doc_id) are used:
-over all of these, every hashed n-gram is counted by class; its log-count ratio r says how much more
-common it is in toxic texts, and its z-score whether that is more than chance. The n-grams of the largest
-|z| stay, and a logistic model over presence x r learns their weights.
+Learnt from labelled texts only, and from all of them: every hashed n-gram is counted by class; its log-count
+ratio r says how much more common it is in toxic texts, and its z-score whether that is more than chance. The n-grams
+of the largest |z| stay, and a logistic model over presence x r learns their weights. What a text holds of these is
+written once, and each step of the fit reads it all: executors sum the loss and its slope.
 
 A score is a function of the text alone, so copies and repeated rows agree. Null texts count as empty; an empty text
 gets the model's base rate. Without labels of both classes, or with empty tables, every score is the (smoothed) base
@@ -21,12 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenfold.llm.common import bounded_sample, code_points, drop_written, grams, map_rows, sliced, written
+from lumenfold.llm.common import code_points, counted, drop_written, grams, map_rows, sized, sliced, written
+from lumenfold.llm.logistic import descended, losses, summed
 
-#: log2 of the hash buckets; n-gram lengths; labelled rows to learn from; n-grams kept; score from which a text is toxic.
-BITS, LENGTHS, SAMPLE, KEPT, THRESHOLD = 20, (3, 4, 5, 6), 12_000, 4096, 0.7
-#: Counts are gathered in so many blocks of buckets, by so many tasks; a block's places fit 16 bits.
-BLOCKS, TASKS = 32, 8
+#: log2 of the hash buckets; n-gram lengths; n-grams kept; score from which a text is toxic.
+BITS, LENGTHS, KEPT, THRESHOLD = 20, (3, 4, 5, 6), 4096, 0.7
+#: Counts are gathered in so many blocks of buckets, by so many tasks or one for so many texts; a block's places fit 16 bits.
+BLOCKS, TASKS, TEXTS = 32, 8, 50_000
+#: Of the fit: the weights' decay.
+DECAY = 3e-4
 
 
 def buckets(text: str, bits: int = BITS) -> np.ndarray:
@@ -47,12 +50,16 @@ def held_out(key: str = "doc_id") -> F.Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> dict:
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> dict:
     """The model, from the rows of labels (key, label); the caller leaves held-out rows out."""
-    few = bounded_sample(labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(label).alias("label")).where("id is not null"), "id", sample)
-    rows = docs.join(F.broadcast(few), docs[key] == few["id"]).select((few["label"] > 0).cast("int").alias("label"), F.coalesce(docs[text], F.lit("")).alias("t"))
-    # at most `sample` texts, written once: the corpus is read once to learn and once to score; copies teach nothing new
-    rows = written(rows.distinct().coalesce(TASKS), "labelled")
+    told, seen = counted(labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(label).alias("label")).where("id is not null"))
+    told = written(told, "told")
+    rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(sized(told), F.col("_id") == F.col("id"))
+    rows = rows.select((F.col("label") > 0).cast("int").alias("label"), F.coalesce("_text", F.lit("")).alias("t"))
+    # the labelled texts, written once: the corpus is read once to learn and once to score; copies teach nothing new
+    rows, labelled = counted(rows.distinct().coalesce(max(TASKS, seen.get["n"] // TEXTS)))
+    rows = written(rows, "labelled")
+    drop_written(told)
     size = (1 << BITS) // BLOCKS
 
     def count(batches):
@@ -85,9 +92,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         top = top[np.abs(z[top]) > 3]
         return pa.table([pa.array(top + key_[0].as_py() * size, pa.int32()), pa.array(r[top]), pa.array(z[top])], names=["bucket", "r", "z"])
 
-    counted = rows.select("label", "t").mapInArrow(count, "block int, label int, n long, at binary, counts binary")
+    by_block = rows.select("label", "t").mapInArrow(count, "block int, label int, n long, at binary, counts binary")
     # the most telling of all blocks, picked by the executors
-    found = counted.groupBy("block").applyInArrow(ratio, "bucket int, r double, z double").orderBy(F.desc(F.abs("z")), "bucket").limit(KEPT).collect()
+    found = by_block.groupBy("block").applyInArrow(ratio, "bucket int, r double, z double").orderBy(F.desc(F.abs("z")), "bucket").limit(KEPT).collect()
     table = np.full(1 << BITS, -1, np.int16)
     for i, x in enumerate(found):
         table[x[0]] = i
@@ -96,15 +103,20 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     def present():
         return lambda t: (np.unique((j := table[buckets(t)])[j >= 0]).tobytes(),)
 
-    shown = map_rows(rows, T.StructType([T.StructField("label", T.IntegerType()), T.StructField("on", T.BinaryType())]), ["label"], present, ["t"]).distinct().collect()
+    shown = map_rows(rows, T.StructType([T.StructField("label", T.IntegerType()), T.StructField("on", T.BinaryType())]), ["label"], present, ["t"])
+    # equal ones count once; in an order of their own, so that sums don't depend on how texts were dealt
+    dealt = shown.repartition(max(1, -(-labelled.get["n"] // TEXTS)), "label", "on").distinct().sortWithinPartitions("label", "on")
+    different = written(dealt, "presence")
     drop_written(rows)
-    different = sorted((x[0], bytes(x[1])) for x in shown)
-    y = np.array([x[0] for x in different], np.float64)
-    base = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if len(y) else 0.0
-    if not len(found) or not 0 < y.sum() < len(y):
+    n = dict(different.groupBy("label").count().collect())
+    no, yes = n.get(0, 0), n.get(1, 0)
+    if not len(found) or not no or not yes:
+        drop_written(different)
+        base = float(np.log((yes + 0.5) / (no + 0.5))) if no + yes else 0.0
         return {"table": table, "w": np.zeros(max(len(r), 1)), "bias": base}
-    on = [np.frombuffer(x[1], np.int16) for x in different]
-    return {"table": table, **_fit(on, y, r)}
+    model = {"table": table, **_fit(different, (no, yes), r)}
+    drop_written(different)
+    return model
 
 
 def log_count_ratios(c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,21 +127,22 @@ def log_count_ratios(c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return r, np.where(c.sum(0) >= 3, r / np.sqrt(1 / (c[1] + 0.5) + 1 / (c[0] + 0.5)), 0)
 
 
-def _fit(on: list[np.ndarray], y: np.ndarray, r: np.ndarray, steps: int = 300, decay: float = 3e-4) -> dict:
-    """Logistic regression over presence x r; classes weigh alike by half."""
-    at = np.repeat(np.arange(len(on)), [len(x) for x in on])
-    j = np.concatenate(on).astype(np.int64) if len(at) else np.empty(0, np.int64)
-    norm = np.maximum(np.sqrt(np.bincount(at, minlength=len(on))), 1)
-    value = r[j] / norm[at] * 4
-    w = z = np.zeros(len(r) + 1)
-    weight = np.where(y > 0, np.sqrt((y == 0).sum() / y.sum()), 1.0)
-    weight /= weight.sum()
-    for i in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(at, value * z[j], len(on)) + z[-1], -50, 50)))
-        e = (p - y) * weight
-        g = np.append(np.bincount(j, value * e[at], len(r)) + decay * z[:-1], e.sum())
-        step = z - 0.5 * g
-        z, w = step + i / (i + 3) * (step - w), step
+def _fit(rows: DataFrame, n: tuple[int, int], r: np.ndarray) -> dict:
+    """Logistic regression over presence x r, from (label, on) of n rows of each label; classes weigh alike by half."""
+    toxic = np.sqrt(n[0] / n[1])
+    weights = np.array([1, toxic]) / (n[0] + toxic * n[1])
+
+    def part(b: pa.RecordBatch, w: np.ndarray) -> tuple[float, np.ndarray]:
+        y, on = b.column("label").to_numpy(), [np.frombuffer(x, np.int16) for x in b.column("on").to_pylist()]
+        lengths = np.array([len(x) for x in on])
+        at = np.repeat(np.arange(len(on)), lengths)
+        j = np.concatenate(on).astype(np.int64)
+        value = r[j] / np.maximum(np.sqrt(lengths), 1)[at] * 4
+        loss, e = losses(np.bincount(at, value * w[j], len(on)) + w[-1], y)
+        e *= weights[y]
+        return float(loss @ weights[y]), np.append(np.bincount(j, value * e[at], len(r)), e.sum())
+
+    w = descended(lambda w: summed(rows, part, w), len(r) + 1, 0.5, DECAY)
     return {"w": w[:-1] * r * 4, "bias": float(w[-1])}
 
 
