@@ -51,16 +51,16 @@ atexit.register(_sweep)
 FILE_ROWS = 100_000
 
 
-def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int | None = None, codec: str = "snappy") -> DataFrame:
     """df, written once as Parquet to the shared folder and read again, so that lost executors cost no recomputation.
 
     rows: about how many narrow rows it has at most, if that is known; so many files are made as these need. Each file
-    and each folder costs its writer a system command where the file system is a local one.
+    and each folder costs its writer a system command where the file system is a local one. codec: of the files.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     out = df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))
-    out.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    out.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").option("compression", codec).parquet(path)
     _MADE.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path

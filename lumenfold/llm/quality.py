@@ -119,7 +119,7 @@ def train(docs: DataFrame, text: str = "text") -> dict:
 
     # equal documents are a row; each counts in the votes
     seen = map_rows(docs.select(F.col(text).alias("_text")), schema, [], looked_at, ["_text"])
-    seen = written(seen.groupBy("pattern", "x").agg(F.count(F.lit(1)).alias("size")), "votes")
+    seen = written(seen.groupBy("pattern", "x").agg(F.count(F.lit(1)).alias("size")), "votes", codec="zstd")
     found = seen.groupBy("pattern").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
     junk, rate, share = posteriors({r["pattern"]: r["size"] for r in found}, len(LABELLERS))
     n = sum(r["n"] for r in found)
